@@ -30,7 +30,8 @@ MAX_SLICES = 16_384
 AUTO: Any = object()
 """Default of the `cuts` arguments: look for hot keys before planning."""
 
-_CUTS, _SLICE, _CARRY = "_cuts", "_slice", "_carry"
+SLICE = "_slice"
+_CUTS, _CARRY = "_cuts", "_carry"
 
 
 @dataclass(frozen=True)
@@ -120,7 +121,7 @@ class Sliced:
         """Drop the carry rows and the helper columns."""
         if not self.split:
             return frame
-        return frame.where(~F.col(_CARRY)).drop(_CUTS, _SLICE, _CARRY)
+        return frame.where(~F.col(_CARRY)).drop(_CUTS, SLICE, _CARRY)
 
 
 def sliced(
@@ -152,20 +153,20 @@ def sliced(
     if cuts is None:
         return Sliced(frame, tuple(by), ordering, False)
 
-    marked = _with_slice(frame, cuts, by, order[0])
+    marked = with_slice(frame, cuts, by, order[0])
     spine = cuts.table.select(
-        *by, F.explode(F.sequence(F.lit(0), F.size(_CUTS))).alias(_SLICE)
+        *by, F.explode(F.sequence(F.lit(0), F.size(_CUTS))).alias(SLICE)
     )
     # Only rows of hot keys are summarised, and the map side reduces them to one row per slice.
     rank = F.struct(*order)
     pick = F.min_by if reverse else F.max_by
     last = (
         marked.where(F.col(_CUTS).isNotNull())
-        .groupBy(*by, _SLICE)
+        .groupBy(*by, SLICE)
         .agg(*[pick(c, F.when(F.col(c).isNotNull(), rank)).alias(c) for c in state])
     )
-    ends = _match(spine, last, [*by, _SLICE], "left")
-    slice_order = F.desc(_SLICE) if reverse else F.asc(_SLICE)
+    ends = _match(spine, last, [*by, SLICE], "left")
+    slice_order = F.desc(SLICE) if reverse else F.asc(SLICE)
     earlier = (
         Window.partitionBy(*by)
         .orderBy(slice_order)
@@ -173,13 +174,13 @@ def sliced(
     )
     carry = ends.select(
         *by,
-        _SLICE,
+        SLICE,
         *[F.last(c, ignorenulls=True).over(earlier).alias(c) for c in state],
         F.lit(True).alias(_CARRY),
     ).where(" OR ".join(f"`{c}` IS NOT NULL" for c in state))
     rows = marked.withColumn(_CARRY, F.lit(False)).unionByName(carry, allowMissingColumns=True)
     first = F.desc(_CARRY)
-    return Sliced(rows, (*by, _SLICE), (first, *ordering), True)
+    return Sliced(rows, (*by, SLICE), (first, *ordering), True)
 
 
 def running_count(
@@ -197,29 +198,29 @@ def running_count(
         return frame.withColumn(
             name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))
         )
-    marked = _with_slice(frame, cuts, by, order[0])
+    marked = with_slice(frame, cuts, by, order[0])
     earlier = (
-        Window.partitionBy(*by).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     )
     # One row per slice of a hot key: bounded like the cuts themselves.
     offsets = (
         marked.where(F.col(_CUTS).isNotNull())
-        .groupBy(*by, _SLICE)
+        .groupBy(*by, SLICE)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*by, _SLICE, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+        .select(*by, SLICE, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     )
-    within = Window.partitionBy(*by, _SLICE).orderBy(*order)
+    within = Window.partitionBy(*by, SLICE).orderBy(*order)
     numbered = marked.withColumn("_within", F.row_number().over(within))
     return (
-        _match(numbered, F.broadcast(offsets), [*by, _SLICE], "left")
+        _match(numbered, F.broadcast(offsets), [*by, SLICE], "left")
         .withColumn(
             name, (F.col("_within") + F.coalesce("_offset", F.lit(0))).cast("int")
         )
-        .drop(_CUTS, _SLICE, "_within", "_offset")
+        .drop(_CUTS, SLICE, "_within", "_offset")
     )
 
 
-def _with_slice(frame: DataFrame, cuts: Cuts, by: list[str], ts: str) -> DataFrame:
+def with_slice(frame: DataFrame, cuts: Cuts, by: list[str], ts: str) -> DataFrame:
     """Add the slice number: how many cut points of the row's key are at or below its time."""
     joined = _match(frame, F.broadcast(cuts.table), by, "left")
     # Binary search, so that a key with thousands of slices stays cheap per row.
@@ -232,7 +233,7 @@ def _with_slice(frame: DataFrame, cuts: Cuts, by: list[str], ts: str) -> DataFra
     found = F.when(F.col(_CUTS).isNull(), F.lit(0)).otherwise(
         F.aggregate(steps, F.lit(0), step)
     )
-    return joined.withColumn(_SLICE, found)
+    return joined.withColumn(SLICE, found)
 
 
 def _match(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
