@@ -198,18 +198,20 @@ def growth_per_day(
     columns: Sequence[str],
     t_from: Column,
     t_to: Column,
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """`<c>_growth` (max - min) and `<c>_per_day` of counters inside a window, per key.
 
     The rate divides by the observed span in days, but by no less than one day. A reset inside
     the window makes max - min too large; `window_total` is the form that survives resets.
+    `extra` are further aggregates to compute along with them.
     """
     growths = [(F.max(c) - F.min(c)).alias(f"{c}_growth") for c in columns]
     span = (F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / F.lit(86_400e6)
     grown = (
         frame.where(in_window(ts, t_from, t_to))
         .groupBy(*keys)
-        .agg(*growths, F.greatest(span, F.lit(1.0)).alias("days"))
+        .agg(*growths, *extra, F.greatest(span, F.lit(1.0)).alias("days"))
     )
     return grown.withColumns(
         {f"{c}_per_day": F.col(f"{c}_growth") / F.col("days") for c in columns}

@@ -39,8 +39,8 @@ def temporal_join(
       row bears the same time.
 
     So the left rows look up their right row once (as-of join on the link), the changed right rows
-    meet the distinct (item, link) pairs, and one window per item puts both in order. No version
-    row is joined with another history's version rows.
+    meet the distinct (item, link) pairs while those hold, and one window per item puts both in
+    order. No version row is joined with another history's version rows.
 
     Args:
         left: The items' history, unique on (key, left_ts).
@@ -89,11 +89,24 @@ def temporal_join(
         cuts=link_cuts,
     ).withColumn("_news", F.coalesce(F.col("_news") & (F.col("_since") == F.col("ts")), F.lit(False)))
 
-    # When each changed right row concerns an item: from its first row with that link on.
-    spans = lefts.where(linked).groupBy(*keys, *links).agg(F.min("ts").alias("_first"))
+    # When a link concerns an item: from its first row with that link to the end of its last.
+    left_cuts = find_cuts(lefts, keys, "ts", limit)
+    thin = lefts.select(*keys, "ts", *links, F.col("ts").alias("_start"))
+    s = sliced(thin, keys, ["ts"], ["_start"], left_cuts, reverse=True)
+    spans = (
+        s.done(s.rows.withColumn("_end", F.lag("_start").over(s.window())))
+        .where(linked)
+        .groupBy(*keys, *links)
+        .agg(
+            F.min("ts").alias("_first"),
+            F.max("_end").alias("_last"),
+            F.bool_or(F.col("_end").isNull()).alias("_lasting"),
+        )
+    )
     ticks = (
         spans.join(news, links)
         .where(F.col("ts") > F.col("_first"))
+        .where(F.col("_lasting") | (F.col("ts") < F.col("_last")))
         .select(*keys, "ts", *links, "rhs", F.lit(1).alias("_side"))
     )
     rows = looked.select(
@@ -102,7 +115,7 @@ def temporal_join(
 
     # An item cannot have more rows than both histories together, so small inputs need no look.
     key_cuts = None
-    if link_cuts is not None or points.count() + lefts.where(~linked).count() > limit:
+    if lefts.count() + rights.count() > limit:
         key_cuts = find_cuts(rows, keys, "ts", limit)
     s = sliced(rows, keys, ["ts", "_side"], ["lhs"], key_cuts)
     ordered = s.done(s.rows.withColumn("_was", F.last("lhs", ignorenulls=True).over(s.before())))

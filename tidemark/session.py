@@ -17,6 +17,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # The joins rely on this to split a hot join key over several tasks.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A union of equally partitioned inputs otherwise fails to run when adaptive execution turns the
+    # join in one of them into a broadcast join ("Can't zip RDDs with unequal numbers ...").
+    "spark.sql.unionOutputPartitioning": "false",
     # Upserts rewrite only the partitions that a batch touches.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
