@@ -139,6 +139,8 @@ def test_validity(spark):
         (3, "period", "2026-01-05T10:00:00Z", "2026-01-06T10:00:00+02:00"), (4, "period", "", ""),
         (5, "period", "2026-01-05T10:00", "2026-01-05T10:00"), (6, "period", "soon", None),
         (7, "sometimes", None, None), (8, "", None, None), (9, "period", "2026-01-05T10:00:00+0200", None),
+        (10, "period", "2026-01-05 10:00+02", None), (11, "period", "2026-01-05T10:00Z", None),
+        (12, "period", "2026-01-05", None),
     ]
     frame = spark.createDataFrame(rows, "id int, mode string, f string, u string").withColumn(
         "arrived", F.lit(T0).cast("timestamp")
@@ -148,7 +150,9 @@ def test_validity(spark):
     assert got[1] == got[8] == (None, None, None)
     assert got[2] == got[4] == (T0, None, None)
     assert got[3] == (datetime(2026, 1, 5, 10), datetime(2026, 1, 6, 8), None)
-    assert got[9] == (datetime(2026, 1, 5, 8), None, None)
+    assert got[9] == got[10] == (datetime(2026, 1, 5, 8), None, None)
+    assert got[11] == (datetime(2026, 1, 5, 10), None, None)
+    assert got[12][2] == "f is not a date-time"
     assert got[5][2] == "the end is not after the start"
     assert got[6][2] == "f is not a date-time"
     assert got[7][2] == "unknown validity"

@@ -25,7 +25,7 @@ def test_parse_visits(spark):
     lines = [
         line(), line(path="/dashboards/d-solo/xyz/p?x", xff="1.2.3.4, 5.6.7.8"),
         line(path="/admin/x", app="admin", dashboard_session="", admin_session="t"),
-        line(dashboard_session="", status=""), "", '{"ts":"2026', '"text"', "17", "[1]",
+        line(dashboard_session="", status=""), "", '{"ts":"2026', line() + "}", line() + ',"a":1', '"text"', "17", "[1]",
         line(ts="soon"), line(status="ok"), line(ua="back\\slash\ttab"),
     ]
     visits, bad = parse_visits(spark.createDataFrame([(t,) for t in lines], "value string"))
@@ -36,8 +36,8 @@ def test_parse_visits(spark):
     assert [r.status for r in rows] == [200, 200, 200, None, 200]
     assert rows[0].visited_at == datetime(2026, 3, 1, 10)
     assert rows[4].user_agent == "back\\slash\ttab"
-    assert [r.reason for r in bad.collect()] == [
-        "not JSON", "not an object", "not an object", "not an object", "bad ts", "bad status"]
+    assert [r.reason for r in bad.collect()] == ["not JSON"] * 3 + [
+        "not an object", "not an object", "not an object", "bad ts", "bad status"]
     assert "cookie" not in " ".join(visits.columns) and "dashboard_session" not in visits.columns
     assert valid_json(spark.createDataFrame([(t,) for t in lines], "v string"), "v").count() == 10
 

@@ -117,7 +117,8 @@ def iso_timestamp(text: Column | str) -> Column:
     """
     shape = r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{1,2}(:\d{1,2}([.,]\d{1,9})?)?\s*(Z|[+-]\d{2}(:?\d{2})?)?$"
     text = F.trim(col(text))
-    # A zone may be written +02, +0200 or +02:00; Spark reads the last form.
+    # Spark wants seconds before a zone, and reads a zone written +02:00 but not +02 or +0200.
+    text = F.regexp_replace(text, r"([T ]\d{1,2}:\d{1,2})(?=$|\s|Z|[+-])", "$1:00")
     zoned = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
     zoned = F.regexp_replace(zoned, r"(:\d{1,2}(?:[.,]\d+)?)\s*([+-]\d{2})$", "$1$2:00")
     zoned = F.regexp_replace(zoned, ",", ".")
@@ -130,5 +131,12 @@ def json_text(document: Column | str, field: str) -> Column:
 
 
 def is_json(document: Column | str) -> Column:
-    """Whether the text parses as JSON of any kind, scalars included."""
-    return F.try_parse_json(col(document)).isNotNull()
+    """Whether the text is exactly one JSON value of any kind, scalars included.
+
+    The parser stops at the end of the first value and ignores what follows. Only a single value
+    stays valid both as the element of an array and as the member of an object.
+    """
+    text = col(document)
+    element = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.try_parse_json(text).isNotNull() & element.isNotNull() & member.isNotNull()
