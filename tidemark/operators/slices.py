@@ -32,6 +32,7 @@ AUTO: Any = object()
 
 SLICE = "_slice"
 _CUTS, _CARRY = "_cuts", "_carry"
+_ALL = "_all"
 
 
 @dataclass(frozen=True)
@@ -62,7 +63,7 @@ def find_cuts(
     """
     rows_per_task = rows_per_task or ROWS_PER_TASK
     max_slices = max_slices or MAX_SLICES
-    by = list(by)
+    frame, by = _keyed(frame, by)
     thin = frame.select(*by, ts)
     total = thin.count()
     if total <= rows_per_task:
@@ -119,9 +120,9 @@ class Sliced:
 
     def done(self, frame: DataFrame) -> DataFrame:
         """Drop the carry rows and the helper columns."""
-        if not self.split:
-            return frame
-        return frame.where(~F.col(_CARRY)).drop(_CUTS, SLICE, _CARRY)
+        if self.split:
+            frame = frame.where(~F.col(_CARRY)).drop(_CUTS, SLICE, _CARRY)
+        return frame.drop(_ALL)
 
 
 def sliced(
@@ -137,7 +138,8 @@ def sliced(
     Args:
         frame: The rows. The first order column is the timeline that hot keys are cut along;
             together the order columns should order the rows of a key completely.
-        by: Key columns; NULL is a key of its own, as in a window.
+        by: Key columns; NULL is a key of its own, as in a window. Without any, all rows are one
+            series.
         order: Order columns, NULLs first.
         state: Columns of which the last non-NULL value so far is what a later row may ask for.
             Carry rows hold these and the keys, everything else in them is NULL. To reach the
@@ -145,7 +147,7 @@ def sliced(
         cuts: Cut points from `find_cuts`, None for none, or AUTO to look for them.
         reverse: Order descending, so that "before" means later rows.
     """
-    by, order = list(by), list(order)
+    (frame, by), order = _keyed(frame, by), list(order)
     if cuts is AUTO:
         cuts = find_cuts(frame, by, order[0])
     direction = F.desc_nulls_first if reverse else F.asc_nulls_first
@@ -220,6 +222,11 @@ def running_count(
     )
 
 
+def _keyed(frame: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """A constant key for a frame without one, so that its one series can be cut like any other."""
+    return (frame, list(by)) if by else (frame.withColumn(_ALL, F.lit(0)), [_ALL])
+
+
 def with_slice(frame: DataFrame, cuts: Cuts, by: list[str], ts: str) -> DataFrame:
     """Add the slice number: how many cut points of the row's key are at or below its time."""
     joined = _match(frame, F.broadcast(cuts.table), by, "left")
