@@ -134,9 +134,9 @@ def is_json(document: Column | str) -> Column:
     """Whether the text is exactly one JSON value of any kind, scalars included.
 
     The parser stops at the end of the first value and ignores what follows. Only a single value
-    stays valid both as the element of an array and as the member of an object.
+    is valid both as the element of an array and as the member of an object.
     """
     text = col(document)
     element = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.try_parse_json(text).isNotNull() & element.isNotNull() & member.isNotNull()
+    return element.isNotNull() & member.isNotNull()

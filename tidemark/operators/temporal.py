@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import all_of, any_of, distinct_from
@@ -68,9 +68,14 @@ def temporal_join(
     ).where(all_of(F.col(c).isNotNull() for c in [*links, "ts"]))
     linked = all_of(F.col(link).isNotNull() for link in links)
 
-    points = lefts.where(linked).select(*links, "ts").unionByName(rights.select(*links, "ts"))
+    # No key of either history, and no item of the result, can have more rows than both together.
     limit = rows_per_task or slices.ROWS_PER_TASK
-    link_cuts = find_cuts(points, links, "ts", limit)
+    large = lefts.select("ts").unionAll(rights.select("ts")).count() > limit
+    link_cuts = left_cuts = None
+    if large:
+        points = lefts.where(linked).select(*links, "ts").unionByName(rights.select(*links, "ts"))
+        link_cuts = find_cuts(points, links, "ts", limit)
+        left_cuts = find_cuts(lefts, keys, "ts", limit)
 
     # Right rows that differ from the one before them.
     s = sliced(rights, links, ["ts"], ["rhs"], link_cuts)
@@ -90,7 +95,6 @@ def temporal_join(
     ).withColumn("_news", F.coalesce(F.col("_news") & (F.col("_since") == F.col("ts")), F.lit(False)))
 
     # When a link concerns an item: from its first row with that link to the end of its last.
-    left_cuts = find_cuts(lefts, keys, "ts", limit)
     thin = lefts.select(*keys, "ts", *links, F.col("ts").alias("_start"))
     s = sliced(thin, keys, ["ts"], ["_start"], left_cuts, reverse=True)
     spans = (
@@ -113,10 +117,7 @@ def temporal_join(
         *keys, "ts", *links, "lhs", "rhs", "_news", F.lit(0).alias("_side")
     ).unionByName(ticks, allowMissingColumns=True)
 
-    # An item cannot have more rows than both histories together, so small inputs need no look.
-    key_cuts = None
-    if lefts.count() + rights.count() > limit:
-        key_cuts = find_cuts(rows, keys, "ts", limit)
+    key_cuts = find_cuts(rows, keys, "ts", limit) if large else None
     s = sliced(rows, keys, ["ts", "_side"], ["lhs"], key_cuts)
     ordered = s.done(s.rows.withColumn("_was", F.last("lhs", ignorenulls=True).over(s.before())))
 
@@ -145,12 +146,14 @@ def temporal_join_theta(
     on: Sequence[tuple[str, str]],
     condition: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     uses: Sequence[str],
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """`temporal_join` with a further condition beside the equalities.
 
-    Which right rows an item can see now depends on more than the link, so the right rows are
-    matched with the item's distinct values of the columns concerned, and the window per item
-    finds the latest match. At least one equality is required: it is what partitions the work.
+    Which right rows an item sees then depends on some more of its columns than the link. It
+    depends on nothing else, so the right rows are matched with the distinct values of those
+    columns, whoever holds them, and the matches are a history to join on those values. At least
+    one equality is required: it is what partitions the matching.
 
     Args:
         condition: Called with two functions that give a left and a right column by name, returns
@@ -159,61 +162,31 @@ def temporal_join_theta(
     """
     keys = [key] if isinstance(key, str) else list(key)
     _check(left, right, left_ts, right_ts, keys, on)
-    reach = list(dict.fromkeys([a for a, _ in on] + list(uses)))
-    names = [f"_reach{i}" for i in range(len(reach))]
-
-    lefts = left.select(
-        *keys,
-        F.col(left_ts).alias("ts"),
-        *[F.col(c).alias(n) for c, n in zip(reach, names)],
-        F.struct(*left.columns).alias("lhs"),
-    ).where(all_of(F.col(c).isNotNull() for c in [*keys, "ts"]))
-    rights = right.where(F.col(right_ts).isNotNull()).select(
-        *[F.col(b).alias(f"_link{i}") for i, (_, b) in enumerate(on)],
-        F.col(right_ts).alias("ts"),
-        F.struct(*right.columns).alias("rhs"),
-    )
-    by_name = dict(zip(reach, names))
-    matches = [
-        F.col(by_name[a]) == F.col(f"_link{i}") for i, (a, _) in enumerate(on)
-    ] + [condition(lambda c: F.col(by_name[c]), lambda c: F.col("rhs")[c])]
-    reached = (
-        lefts.select(*keys, *names)
+    linked = all_of(F.col(a).isNotNull() for a, _ in on)
+    own = [c for c in dict.fromkeys(uses) if c not in {a for a, _ in on}]
+    # NULL can satisfy the condition, so it becomes a value to join on: text, or '' for NULL.
+    texts = {
+        f"_use_{c}": F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+        for c in own
+    }
+    reachable = left.withColumns(texts) if texts else left
+
+    names = {c: f"_left_{c}" for c in [*dict.fromkeys(a for a, _ in on), *own]}
+    values = (
+        reachable.where(linked)
+        .select(*[F.col(c).alias(n) for c, n in names.items()], *texts)
         .distinct()
-        .join(rights, all_of(matches))
-        .select(*keys, *names, "ts", "rhs", F.lit(0).alias("_side"))
     )
-    rows = lefts.select(*keys, *names, "ts", "lhs", F.lit(1).alias("_side")).unionByName(
-        reached, allowMissingColumns=True
+    matches = [F.col(names[a]) == right[b] for a, b in on]
+    matches.append(condition(lambda c: F.col(names[c]), lambda c: right[c]))
+    matched = values.join(right, all_of(matches)).select(*right.columns, *texts)
+    joined = temporal_join(
+        reachable, matched, left_ts, right_ts, keys, [*on, *[(t, t) for t in texts]], rows_per_task
     )
-
-    # The left row in effect, also at a match of the same time: a RANGE frame takes in peers.
-    s = sliced(rows, keys, ["ts"], ["lhs"])
-    peers = s.window().rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    current = s.done(s.rows.withColumn("lhs", F.last("lhs", ignorenulls=True).over(peers)))
-    current = current.where(F.col("lhs").isNotNull() | F.col("rhs").isNotNull())
-    # The latest match among those for the values that the left row in effect has.
-    aims = current.where(F.col("lhs").isNotNull()).select(
-        *keys, *[F.col("lhs")[c].alias(n) for c, n in zip(reach, names)], "ts", "lhs"
-    ).distinct()
-    pool = reached.select(
-        *keys, *names, F.col("ts").alias("_since"), "rhs"
-    )
-    joined = asof_join(aims, pool, "ts", "_since", [*keys, *names])
-    # Keys with a NULL among the values match nothing here, as in the condition above.
-    values = joined.select(*keys, "ts", "lhs", "rhs")
-    s = sliced(values.withColumn("_state", F.struct("lhs", "rhs")), keys, ["ts"], ["_state"])
-    was = F.lag("_state").over(s.window())
-    changed = (
-        was.isNull()
-        | ~_unchanged(F.col("lhs"), was["lhs"], left, left_ts)
-        | distinct_from(was["rhs"].isNull(), F.col("rhs").isNull())
-        | ~_unchanged(F.col("rhs"), was["rhs"], right, right_ts)
-    )
-    return (
-        s.done(s.rows.withColumn("_changed", changed))
-        .where("_changed")
-        .select(*keys, "ts", "lhs", "rhs")
+    if not texts:
+        return joined
+    return joined.withColumns(
+        {side: F.col(side).dropFields(*texts) for side in ("lhs", "rhs")}
     )
 
 

@@ -15,7 +15,7 @@ from tidemark.operators.temporal import (
     temporal_join_theta,
 )
 from tidemark.plans.synthetic.registry import query
-from tidemark.session import load
+from tidemark.session import load, work_path
 
 LHS_SQL = """
 SELECT l_partkey, l_shipdate AS shipped, l_returnflag AS flag, l_suppkey AS link FROM (
@@ -41,11 +41,19 @@ c AS (SELECT *, lag(shipped) OVER w IS NULL OR flag IS DISTINCT FROM lag(flag) O
 SELECT l_partkey, ts, flag, link, class FROM c WHERE changed"""
 
 
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """Histories are tables that several steps read, so they are written before they are joined."""
+    spark = frame.sparkSession
+    path = work_path(spark, name)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def part_history(spark: SparkSession, sf: str) -> DataFrame:
     """One row per part and ship date: the return flag and the supplier linked to."""
     order = F.struct("l_orderkey", "l_linenumber", "l_returnflag", "l_suppkey")
     first = F.min_by(F.struct("l_returnflag", "l_suppkey"), order).alias("row")
-    return (
+    rows = (
         load(spark, sf, "lineitem")
         .groupBy("l_partkey", F.col("l_shipdate").alias("shipped"))
         .agg(first)
@@ -54,17 +62,19 @@ def part_history(spark: SparkSession, sf: str) -> DataFrame:
             F.col("row.l_suppkey").alias("link"),
         )
     )
+    return stored(rows, "part_history")
 
 
 def supplier_history(spark: SparkSession, sf: str) -> DataFrame:
     """One row per supplier and quarter: a class by the quantity shipped."""
     quantity = F.sum("l_quantity")
     band = F.when(quantity < 500, "A").when(quantity < 600, "B").otherwise("C")
-    return (
+    rows = (
         load(spark, sf, "lineitem")
         .groupBy("l_suppkey", F.date_trunc("quarter", "l_shipdate").alias("since"))
         .agg(band.alias("class"))
     )
+    return stored(rows, "supplier_history")
 
 
 def joined(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,7 +184,7 @@ def repeats(spark, sf):
         HAVING count(*) > 1""",
 )
 def audited_join(spark, sf):
-    history = joined(spark, sf)
+    history = stored(joined(spark, sf), "joined")
     twice = audit_unique(history, ["l_partkey", "ts"])
     still = audit_every_row_is_a_change(history, "l_partkey", "ts", ["flag", "link", "class"])
     return twice.unionByName(still.select("l_partkey", "ts", F.lit(0).cast("long").alias("rows")))
@@ -200,7 +210,7 @@ def changes(spark, sf):
 )
 def time_in_state(spark, sf):
     lasting = periods(
-        joined(spark, sf), "l_partkey", "ts", F.lit("2002-01-01").cast("timestamp")
+        stored(joined(spark, sf), "joined"), "l_partkey", "ts", F.lit("2002-01-01").cast("timestamp")
     )
     return lasting.groupBy("class").agg(
         F.count(F.lit(1)).alias("periods"), F.sum("days").alias("days")
