@@ -18,9 +18,9 @@ from tidemark.plans.synthetic.registry import query
 from tidemark.session import load, work_path
 
 LHS_SQL = """
-SELECT l_partkey, l_shipdate AS shipped, l_returnflag AS flag, l_suppkey AS link FROM (
-  SELECT *, row_number() OVER (PARTITION BY l_partkey, l_shipdate
-    ORDER BY l_orderkey, l_linenumber, l_returnflag, l_suppkey) AS rn FROM lineitem) WHERE rn = 1"""
+SELECT l_partkey, l_shipdate AS shipped, CASE WHEN min(l_linenumber) <= 2 THEN 'A'
+  WHEN min(l_linenumber) <= 5 THEN 'N' ELSE 'R' END AS flag, min(l_suppkey) AS link
+FROM lineitem GROUP BY l_partkey, l_shipdate"""
 RHS_SQL = """
 SELECT l_suppkey, date_trunc('quarter', l_shipdate) AS since,
   CASE WHEN sum(l_quantity) < 500 THEN 'A' WHEN sum(l_quantity) < 600 THEN 'B' ELSE 'C' END AS class
@@ -50,16 +50,14 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
 
 
 def part_history(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per part and ship date: the return flag and the supplier linked to."""
-    order = F.struct("l_orderkey", "l_linenumber", "l_returnflag", "l_suppkey")
-    first = F.min_by(F.struct("l_returnflag", "l_suppkey"), order).alias("row")
+    """One row per part and ship date: a flag and the supplier linked to."""
+    line = F.min("l_linenumber")
     rows = (
         load(spark, sf, "lineitem")
         .groupBy("l_partkey", F.col("l_shipdate").alias("shipped"))
-        .agg(first)
-        .select(
-            "l_partkey", "shipped", F.col("row.l_returnflag").alias("flag"),
-            F.col("row.l_suppkey").alias("link"),
+        .agg(
+            F.when(line <= 2, "A").when(line <= 5, "N").otherwise("R").alias("flag"),
+            F.min("l_suppkey").alias("link"),
         )
     )
     return stored(rows, "part_history")
