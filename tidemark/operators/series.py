@@ -153,17 +153,13 @@ def rollup_and_prune(
     running this any number of times therefore gives the same table.
     """
     edge = as_of - raw_retention
-    fresh = hourly_rollup(raw, series, ts, rollup)
-    keys = [*series, "bucket"]
-    stored = hourly.select(*keys, F.lit(True).alias("_stored"))
-    # Hourly tables are small next to the raw samples; this join is on their unique key.
-    sound = (F.col("bucket") >= edge) & F.col("anchored")
-    accepted = (
-        fresh.join(stored, keys, "left")
-        .where(sound | F.col("_stored").isNull())
-        .select(*fresh.columns)
-    )
-    merged = hourly.join(accepted.select(*keys), keys, "left_anti").unionByName(accepted)
+    keys, columns = [*series, "bucket"], hourly.columns
+    old = hourly.select(*keys, F.struct(*columns).alias("_old"))
+    new = hourly_rollup(raw, series, ts, rollup).select(*keys, F.struct(*columns).alias("_new"))
+    both = old.join(new, keys, "full_outer")
+    whole = (F.col("bucket") >= edge) & F.col("_new")["anchored"]
+    row = F.when(whole | F.col("_old").isNull(), F.coalesce("_new", "_old")).otherwise(F.col("_old"))
+    merged = both.select(row.alias("_row")).select(*[F.col("_row")[c].alias(c) for c in columns])
     return prune(raw, ts, as_of, raw_retention), prune(merged, "bucket", as_of, hourly_retention)
 
 

@@ -15,6 +15,10 @@ from pyspark.sql import types as T
 from tidemark.functions import covers, iso_timestamp
 from tidemark.operators.asof import asof_join
 from tidemark.operators.slices import AUTO, SLICE, Cuts, find_cuts, with_slice
+from tidemark.session import written
+
+ROWS_PER_SLICE = 1_000_000
+"""A zone's uploads are held in memory while it is read; larger zones are cut."""
 
 # The validity modes of an upload.
 ALWAYS, UNTIL_REPLACED, PERIOD = "always", "until_replaced", "period"
@@ -78,7 +82,7 @@ def clip_replaced(
     takes_part = F.col(v_from).isNotNull() & F.col(zone).isNotNull()
     started = uploads.where(takes_part)
     if cuts is AUTO:
-        cuts = find_cuts(started, [zone], seq)
+        cuts = find_cuts(started, [zone], seq, ROWS_PER_SLICE)
     if cuts is None:
         part = started.withColumn(SLICE, F.lit(0))
     else:
@@ -86,7 +90,8 @@ def clip_replaced(
     columns = uploads.columns
     closed = _close_in_order(part.select(*columns, SLICE), zone, seq, v_from, v_until)
     if cuts is not None:
-        closed = _close_across_slices(closed, zone, v_from, v_until)
+        # Read several times from here on.
+        closed = _close_across_slices(written(closed, "closed"), zone, v_from, v_until)
     return closed.select(*columns).unionByName(uploads.where(~takes_part))
 
 

@@ -4,6 +4,7 @@ from tidemark.plans.synthetic import (  # noqa: F401
     histories,
     hosts,
     storing,
+    streams,
     tenants,
     uploading,
     visiting,

@@ -15,7 +15,7 @@ from tidemark.operators.temporal import (
     temporal_join_theta,
 )
 from tidemark.plans.synthetic.registry import query
-from tidemark.session import load, work_path
+from tidemark.session import load, written
 
 LHS_SQL = """
 SELECT l_partkey, l_shipdate AS shipped, CASE WHEN min(l_linenumber) <= 2 THEN 'A'
@@ -41,12 +41,7 @@ c AS (SELECT *, lag(shipped) OVER w IS NULL OR flag IS DISTINCT FROM lag(flag) O
 SELECT l_partkey, ts, flag, link, class FROM c WHERE changed"""
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """Histories are tables that several steps read, so they are written before they are joined."""
-    spark = frame.sparkSession
-    path = work_path(spark, name)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+# Histories are tables that several steps read, so they are written before they are joined.
 
 
 def part_history(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,7 +55,7 @@ def part_history(spark: SparkSession, sf: str) -> DataFrame:
             F.min("l_suppkey").alias("link"),
         )
     )
-    return stored(rows, "part_history")
+    return written(rows, "part_history")
 
 
 def supplier_history(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,7 +67,7 @@ def supplier_history(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy("l_suppkey", F.date_trunc("quarter", "l_shipdate").alias("since"))
         .agg(band.alias("class"))
     )
-    return stored(rows, "supplier_history")
+    return written(rows, "supplier_history")
 
 
 def joined(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,7 +177,7 @@ def repeats(spark, sf):
         HAVING count(*) > 1""",
 )
 def audited_join(spark, sf):
-    history = stored(joined(spark, sf), "joined")
+    history = written(joined(spark, sf), "joined")
     twice = audit_unique(history, ["l_partkey", "ts"])
     still = audit_every_row_is_a_change(history, "l_partkey", "ts", ["flag", "link", "class"])
     return twice.unionByName(still.select("l_partkey", "ts", F.lit(0).cast("long").alias("rows")))
@@ -208,7 +203,7 @@ def changes(spark, sf):
 )
 def time_in_state(spark, sf):
     lasting = periods(
-        stored(joined(spark, sf), "joined"), "l_partkey", "ts", F.lit("2002-01-01").cast("timestamp")
+        written(joined(spark, sf), "joined"), "l_partkey", "ts", F.lit("2002-01-01").cast("timestamp")
     )
     return lasting.groupBy("class").agg(
         F.count(F.lit(1)).alias("periods"), F.sum("days").alias("days")

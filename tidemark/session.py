@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 SETTINGS = {
     # Every timestamp in this package is read and written in UTC.
     "spark.sql.session.timeZone": "UTC",
+    # Zoneless Parquet timestamps are read as UTC instants, so that filters reach the scan, which a
+    # cast would prevent.
+    "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # The joins rely on this to split a hot join key over several tasks.
@@ -69,11 +72,22 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """Write a frame below the shared folder and read it back.
+
+    For a derived table that several steps read: it is computed once, and a lost executor costs
+    no more than the step at hand.
+    """
+    path = work_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One Parquet table, with zoneless timestamps read as UTC instants.
+    """One Parquet table, with zoneless timestamps as UTC instants.
 
-    `withWatermark` and `unix_micros` refuse zoneless timestamps, hence the cast. It is a no-op
-    on the stored value, and filters on the column still reach the scan.
+    `withWatermark` and `unix_micros` refuse zoneless timestamps. With the settings above there
+    are none; the cast is for sessions without them.
     """
     frame = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     for field in frame.schema:
