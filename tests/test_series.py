@@ -79,6 +79,11 @@ def test_slices_are_even_and_bounded(spark):
     sizes = [r["count"] for r in slices.with_slice(rows, cuts, ["k"], "at").groupBy("k", slices.SLICE).count().collect()]
     assert sum(sizes) == 100_000 and max(sizes) < 6_500
     assert find_cuts(rows, ["k"], "at", rows_per_task=200_000) is None
+    many = find_cuts(rows, ["k"], "at", rows_per_task=40)
+    assert many.longest > 1_500
+    sizes = slices.with_slice(rows, many, ["k"], "at").groupBy("k", slices.SLICE).count()
+    assert sizes.agg(F.max("count"), F.sum("count")).first()[1] == 100_000
+    assert sizes.agg(F.max("count")).first()[0] < 150
     few = find_cuts(rows, ["k"], "at", rows_per_task=1, max_slices=10)
     assert sum(len(r._cuts) for r in few.table.collect()) <= 12
 

@@ -37,15 +37,14 @@ _ALL = "_all"
 
 @dataclass(frozen=True)
 class Cuts:
-    """The hot keys and where their timelines are cut: one row per hot key."""
+    """The hot keys and where their timelines are cut: one row per hot key.
+
+    `longest` is the largest number of cut points that a key has.
+    """
 
     table: DataFrame
     by: tuple[str, ...]
-
-    def renamed(self, by: Sequence[str]) -> Cuts:
-        """The same cuts for a frame that calls the key columns differently."""
-        table = self.table.toDF(*by, _CUTS)
-        return Cuts(table, tuple(by))
+    longest: int
 
 
 def find_cuts(
@@ -95,7 +94,8 @@ def find_cuts(
         )
     )
     rows = quantiles.collect()
-    return Cuts(spark.createDataFrame(rows, quantiles.schema), tuple(by))
+    table = spark.createDataFrame(rows, quantiles.schema)
+    return Cuts(table, tuple(by), max(len(r[_CUTS]) for r in rows))
 
 
 @dataclass(frozen=True)
@@ -230,17 +230,14 @@ def _keyed(frame: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
 def with_slice(frame: DataFrame, cuts: Cuts, by: list[str], ts: str) -> DataFrame:
     """Add the slice number: how many cut points of the row's key are at or below its time."""
     joined = _match(frame, F.broadcast(cuts.table), by, "left")
-    # Binary search, so that a key with thousands of slices stays cheap per row.
-    steps = F.array(*[F.lit(1 << i) for i in range(MAX_SLICES.bit_length(), -1, -1)])
-
-    def step(found: Column, size: Column) -> Column:
-        probe = F.try_element_at(F.col(_CUTS), found + size)
-        return F.when(probe <= F.col(ts), found + size).otherwise(found)
-
-    found = F.when(F.col(_CUTS).isNull(), F.lit(0)).otherwise(
-        F.aggregate(steps, F.lit(0), step)
-    )
-    return joined.withColumn(SLICE, found)
+    # Binary search, one step per projection: cheap for thousands of slices, and in codegen.
+    found = joined.withColumn(SLICE, F.lit(0))
+    for bit in reversed(range(max(cuts.longest.bit_length(), 1))):
+        size = F.lit(1 << bit)
+        probe = F.try_element_at(F.col(_CUTS), F.col(SLICE) + size)
+        step = F.when(probe <= F.col(ts), size).otherwise(F.lit(0))
+        found = found.withColumn(SLICE, F.col(SLICE) + step)
+    return found
 
 
 def _match(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:

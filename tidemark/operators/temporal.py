@@ -11,6 +11,7 @@ from tidemark.functions import all_of, any_of, distinct_from
 from tidemark.operators.asof import asof_join
 from tidemark.operators import slices
 from tidemark.operators.slices import AUTO, Cuts, find_cuts, sliced
+from tidemark.session import written
 
 
 def temporal_join(
@@ -117,7 +118,12 @@ def temporal_join(
         *keys, "ts", *links, "lhs", "rhs", "_news", F.lit(0).alias("_side")
     ).unionByName(ticks, allowMissingColumns=True)
 
-    key_cuts = find_cuts(rows, keys, "ts", limit) if large else None
+    key_cuts = None
+    if large:
+        # The hot items show only in the result of the joins so far; these run once, not again
+        # for each look at the row counts.
+        rows = written(rows, "ticks")
+        key_cuts = find_cuts(rows, keys, "ts", limit)
     s = sliced(rows, keys, ["ts", "_side"], ["lhs"], key_cuts)
     ordered = s.done(s.rows.withColumn("_was", F.last("lhs", ignorenulls=True).over(s.before())))
 

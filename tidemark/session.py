@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -44,10 +45,25 @@ def session(
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session that somebody else created."""
+    """Apply the runtime settings to a session that somebody else created.
+
+    Also sends this package to the executors, once per application, for the few operators that
+    run Python there.
+    """
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), "tidemark")
+        context.addPyFile(
+            shutil.make_archive(archive, "zip", os.path.dirname(package), os.path.basename(package))
+        )
+        _shipped.add(context.applicationId)
     return spark
 
 
