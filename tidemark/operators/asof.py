@@ -32,7 +32,8 @@ def asof_join(
     lookup, and a hot point is an ordinary skewed equi-join, which adaptive execution splits.
 
     Args:
-        left: Rows to look up for. A NULL key or time finds nothing.
+        left: Rows to look up for. A NULL key or time finds nothing. Read more than once, so a
+            costly derived table should be stored first (`tidemark.session.written`).
         right: Rows to find, unique on (key, time).
         left_ts: Time column of the left rows.
         right_ts: Time column of the right rows.

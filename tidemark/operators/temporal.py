@@ -185,7 +185,10 @@ def temporal_join_theta(
     )
     matches = [F.col(names[a]) == right[b] for a, b in on]
     matches.append(condition(lambda c: F.col(names[c]), lambda c: right[c]))
-    matched = values.join(right, all_of(matches)).select(*right.columns, *texts)
+    # Read several times from here on.
+    matched = written(
+        values.join(right, all_of(matches)).select(*right.columns, *texts), "matched"
+    )
     joined = temporal_join(
         reachable, matched, left_ts, right_ts, keys, [*on, *[(t, t) for t in texts]], rows_per_task
     )

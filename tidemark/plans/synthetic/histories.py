@@ -150,8 +150,11 @@ def chained(spark, sf):
         "o_orderkey", "o_orderdate", F.col("o_custkey").alias("p_partkey")
     )
     # The second lookup hangs off the row that the first one found.
-    first = asof_join(
-        orders, part_history(spark, sf), "o_orderdate", "shipped", [("p_partkey", "l_partkey")]
+    first = written(
+        asof_join(
+            orders, part_history(spark, sf), "o_orderdate", "shipped", [("p_partkey", "l_partkey")]
+        ),
+        "first_lookup",
     )
     second = asof_join(
         first, supplier_history(spark, sf), "o_orderdate", "since", [("link", "l_suppkey")]

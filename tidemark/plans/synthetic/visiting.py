@@ -16,12 +16,12 @@ from tidemark.operators.visits import (
     visits_by,
 )
 from tidemark.plans.synthetic.registry import query
-from tidemark.session import load
+from tidemark.session import load, written
 from tidemark.sources.files import parse_readings
 
 
 def log_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as visit log lines. Errors are cut off in the middle, signups have no proper status."""
+    """Events as visit log lines. Errors carry a stray brace, signups have no proper status."""
     kind, user = F.col("event_type"), F.col("user_id").cast("string")
     path = (
         F.when(kind == "view", F.concat(F.lit("/dashboards/d/u"), user, F.lit("/name")))
@@ -41,8 +41,10 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("value") > 20, user).otherwise("").alias("admin_session"),
     )
     whole = F.to_json(record)
-    line = F.when(kind == "error", F.expr("left(whole, 25)")).otherwise(F.col("whole"))
-    return load(spark, sf, "events").withColumn("whole", whole).select(line.alias("value"))
+    line = F.when(kind == "error", F.concat("whole", F.lit("}"))).otherwise(F.col("whole"))
+    rendered = load(spark, sf, "events").withColumn("whole", whole).select(line.alias("value"))
+    # Lines come from files; parsing must not render them again for each use.
+    return written(rendered, "lines")
 
 
 @query(
@@ -76,7 +78,7 @@ def quarantine(spark, sf):
 )
 def parseable(spark, sf):
     line = (
-        F.when(F.col("event_type") == "error", F.substring("props", 2, 1000))
+        F.when(F.col("event_type") == "error", F.concat("props", F.lit("}")))
         .when(F.col("event_type") == "signup", "")
         .otherwise(F.col("props"))
     )

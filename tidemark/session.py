@@ -67,20 +67,24 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_fallback: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir`, as the cluster sets it.
 
-    Only a local session without the setting falls back to a temporary folder, which it then
-    also sets, so that later steps of the same session find the same place.
+    Only a local session without the setting falls back to a temporary folder, one per
+    application.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="tidemark-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _fallback:
+        _fallback[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
+    return _fallback[context.applicationId]
 
 
 def work_path(spark: SparkSession, name: str) -> str:
