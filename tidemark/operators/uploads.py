@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 
 from tidemark.functions import sha256
 from tidemark.operators.slices import running_count
+from tidemark.session import runs_on_executors
+
+runs_on_executors(__name__)
 
 
 def check_not_empty(files: DataFrame, set_key: str, order: str, name: str, size: str) -> DataFrame:

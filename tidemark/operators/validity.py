@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 from tidemark.functions import covers, iso_timestamp
 from tidemark.operators.asof import asof_join
 from tidemark.operators.slices import AUTO, SLICE, Cuts, find_cuts, with_slice
-from tidemark.session import written
+from tidemark.session import runs_on_executors, written
+
+runs_on_executors(__name__)
 
 ROWS_PER_SLICE = 1_000_000
 """A zone's uploads are held in memory while it is read; larger zones are cut."""

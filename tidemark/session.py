@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import shutil
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,28 +45,22 @@ def session(
     return builder.getOrCreate()
 
 
-_shipped: set[str] = set()
-
-
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session that somebody else created.
-
-    Also sends this package to the executors, once per application, for the few operators that
-    run Python there.
-    """
+    """Apply the runtime settings to a session that somebody else created."""
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        package = os.path.dirname(os.path.abspath(__file__))
-        archive = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), "tidemark")
-        context.addPyFile(
-            shutil.make_archive(archive, "zip", os.path.dirname(package), os.path.basename(package))
-        )
-        _shipped.add(context.applicationId)
     return spark
 
 
+def runs_on_executors(module: str) -> None:
+    """Send a module's functions to the executors by value.
+
+    For the few modules with Python that runs there, so that the package need not be installed
+    on every machine.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 _fallback: dict[str, str] = {}
 
 

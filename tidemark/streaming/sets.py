@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.session import runs_on_executors
+
+runs_on_executors(__name__)
+
 MESSAGE = "set_id string, at timestamp, kind string, truncated boolean"
 """What arrives: `kind` is `part` or `commit`."""
 
