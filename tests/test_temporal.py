@@ -12,6 +12,7 @@ from tests.histories import (
     JOINED,
     replay,
 )
+from tidemark.operators import temporal
 from tidemark.operators.temporal import changes_only, periods, temporal_join, temporal_join_theta
 
 ON = [("component_key", "component_key")]
@@ -69,8 +70,10 @@ def history(rng, keys, links, days):
     return lefts, rights
 
 
-@pytest.mark.parametrize("rows_per_task", [None, 2])
-def test_equals_replay(spark, rows_per_task):
+@pytest.mark.parametrize("rows_per_task,pairs,block", [(None, 100, 64), (2, 0, 2), (None, 0, 1)])
+def test_equals_replay(spark, monkeypatch, rows_per_task, pairs, block):
+    monkeypatch.setattr(temporal, "PAIRS_PER_ROW", pairs)
+    monkeypatch.setattr(temporal, "NEWS_PER_BLOCK", block)
     rng = random.Random(7)
     all_left, all_right, expected = [], [], []
     for n in range(12):
