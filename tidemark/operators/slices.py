@@ -145,12 +145,12 @@ def sliced(
             Carry rows hold these and the keys, everything else in them is NULL. To reach the
             previous row itself (`lag`), pass a struct column that is never NULL.
         cuts: Cut points from `find_cuts`, None for none, or AUTO to look for them.
-        reverse: Order descending, so that "before" means later rows.
+        reverse: The exact opposite order, so that "before" means later rows.
     """
     (frame, by), order = _keyed(frame, by), list(order)
     if cuts is AUTO:
         cuts = find_cuts(frame, by, order[0])
-    direction = F.desc_nulls_first if reverse else F.asc_nulls_first
+    direction = F.desc_nulls_last if reverse else F.asc_nulls_first
     ordering = tuple(direction(c) for c in order)
     if cuts is None:
         return Sliced(frame, tuple(by), ordering, False)

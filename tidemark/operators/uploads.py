@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import sha256
 from tidemark.operators.slices import running_count
-from tidemark.session import runs_on_executors
+from tidemark.session import runs_on_executors, written
 
 runs_on_executors(__name__)
 
@@ -110,7 +110,8 @@ def safe_names(files: DataFrame, set_key: str, order: str, name: str) -> DataFra
     shapes = split.groupBy(*family, "_bare").agg(F.count(F.lit(1)).alias("_n")).groupBy(*family).agg(
         F.count(F.lit(1)).alias("_names"), F.sum("_n").alias("_files")
     )
-    known = split.join(shapes, family)
+    # Each branch below takes its part of this.
+    known = written(split.join(shapes, family), "families")
     clash = F.col("_files") > F.col("_names")
     single = F.col("_names") == 1
 

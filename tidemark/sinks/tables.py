@@ -37,26 +37,29 @@ def upsert_partitions(
     """Upsert into a Parquet table partitioned by `partition`, a function of the key.
 
     Only the partitions in the batch are read and rewritten. Their names pass through the driver;
-    there are as many as the batch has days or months. The merged rows are staged beside the
-    table first, as a table cannot be read while it is overwritten.
+    there are as many as the batch has days or months. The batch, so that it is computed once, and
+    the merged rows, as a table cannot be read while it is overwritten, are staged beside it.
     """
-    spark = changes.sparkSession
+    spark, table = changes.sparkSession, path.rstrip("/")
+    batch = _staged(changes, f"{table}.batch")
     try:
-        spark.read.schema(changes.schema).parquet(path)
+        # Columns in the batch's order, so that the merged rows line up with the stored ones.
+        base = spark.read.schema(changes.schema).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return fan_out(changes, partition, path)
-    touched = [r[0] for r in changes.select(partition).distinct().collect()]
-    # Columns in the batch's order, so that the merged rows line up with the stored ones.
-    base = spark.read.schema(changes.schema).parquet(path).where(F.col(partition).isin(touched))
-    staged = f"{path.rstrip('/')}.staged"
-    merged = upsert(base, changes, keys)
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(staged)
-    writer = spark.read.schema(changes.schema).parquet(staged).write.mode("overwrite")
+        return fan_out(batch, partition, path)
+    touched = [r[0] for r in batch.select(partition).distinct().collect()]
+    merged = upsert(base.where(F.col(partition).isin(touched)), batch, keys)
+    writer = _staged(merged, f"{table}.merged").write.mode("overwrite")
     writer.option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
+def _staged(frame: DataFrame, path: str) -> DataFrame:
+    frame.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def fan_out(frame: DataFrame, part: str, path: str) -> None:
     """One table per value of `part`, below `path`, written in one pass.
 
