@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, secret_scan, url_filter, warc
+from tidemark.llm import decontaminate, secret_scan, simhash, url_filter, warc
 from tidemark.llm.common import prepare, table
 from tidemark.session import work_path
 
@@ -167,6 +167,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_simhash_near_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 RULES = (
     url_filter.Rule("allow", "com", "/"),
     url_filter.Rule("block", "example.com", "/en/"),
