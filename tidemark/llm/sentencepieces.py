@@ -71,7 +71,7 @@ def double_array(words: list[tuple[list[int], int]], n_codes: int) -> tuple[np.n
     taken[0] = True
     check[0] = 0
     state_of = {0: 0}
-    order, free = [0], 1
+    order = [0]
     for node in order:
         below = children[node]
         state = state_of[node]
@@ -79,17 +79,20 @@ def double_array(words: list[tuple[list[int], int]], n_codes: int) -> tuple[np.n
         if not below:
             continue
         codes = np.array(sorted(below), np.int64)
-        while taken[free]:
-            free += 1
-        b = max(1, free - int(codes[0]))
-        while True:
-            if b + n_codes >= len(taken):
+        # Bases that put the first code on a free place, tried many at a time.
+        b = None
+        while b is None:
+            tries = np.flatnonzero(~taken[: len(taken) - n_codes]) - int(codes[0])
+            tries = tries[tries > 0]
+            for i in range(0, len(tries), 256):
+                fits = ~taken[tries[i : i + 256, None] + codes].any(axis=1)
+                if fits.any():
+                    b = int(tries[i + int(fits.argmax())])
+                    break
+            else:
                 more = len(taken)
                 base, value = np.concatenate([base, np.zeros(more, np.int32)]), np.concatenate([value, np.full(more, -1, np.int32)])
                 check, taken = np.concatenate([check, np.full(more, -1, np.int32)]), np.concatenate([taken, np.zeros(more, bool)])
-            if not taken[b + codes].any():
-                break
-            b += 1
         base[state] = b
         for c in codes.tolist():
             taken[b + c] = True
