@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, secret_scan, simhash, url_filter, warc
+from tidemark.llm import decontaminate, secret_scan, sentencepieces, simhash, url_filter, warc
 from tidemark.llm.common import prepare, table
 from tidemark.session import work_path
 
@@ -173,6 +173,20 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op8_sentencepiece")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = sentencepieces.read_vocabulary(MODEL_FILE)
+    found = sentencepieces.decode(sentencepieces.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), digest(ids).alias("ids_sha256"), digest("decoded").alias("decoded_sha256")
+    )
+
+
 RULES = (
     url_filter.Rule("allow", "com", "/"),
     url_filter.Rule("block", "example.com", "/en/"),
