@@ -8,8 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, secret_scan, sentencepieces, simhash, url_filter, warc
-from tidemark.llm.common import prepare, table
+from tidemark.llm import (
+    decontaminate,
+    language_id,
+    quality,
+    secret_scan,
+    sentencepieces,
+    simhash,
+    url_filter,
+    warc,
+    weighted_sampling,
+)
+from tidemark.llm.common import may_train, prepare, table
 from tidemark.session import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -199,3 +209,38 @@ RULES = (
 @query("op9_url_filters")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES)
+
+
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    network = quality.train(documents, table(spark, sf_dir, "labels"), may_train(F.col("doc_id")))
+    found = quality.score(documents.select("doc_id", "text"), network)
+    return found.select(
+        "doc_id",
+        (~may_train(F.col("doc_id"))).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query("op7_document_fingerprints")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = weighted_sampling.edits(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.encode("edited_text", "UTF-8"), 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language_id.train(documents, may_train(F.col("doc_id")))
+    found = language_id.predict(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", (~may_train(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")

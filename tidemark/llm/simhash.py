@@ -9,6 +9,10 @@ fingerprints to each, which has no bound. A shard larger than `shard_size` is de
 bits that it doesn't share yet, so no task gets a group without bound.
 
 A shard answers with a link to one representative per local component, not with all pairs.
+
+A radius that stands for a similarity of 0.8 (`WIDE_RADIUS`) leaves no useful block untouched. For it, `similar` deals
+fingerprints to shards by pairs of minima of their shingles' hashes: two texts with a similarity of s share one pair with a
+probability of s * s, and one of `BANDS` with 1 - (1 - s * s) ** BANDS, 0.9997 for 0.8.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, spread, stored
+from tidemark.llm.common import discard, spread, stored, unused
 from tidemark.llm.components import components
 from tidemark.session import runs_on_executors
 
@@ -31,17 +35,17 @@ SEED = 42
 WORDS = 3
 RADIUS = 2
 SHARD_SIZE = 20_000
+WIDE_RADIUS, WIDE_WORDS, BANDS = 14, 5, 8
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
-    """A bit is set if it is set in over half of the hashes of the shingles, repeats included.
+def shingle_hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; A-Z count as a-z, words are separated by ASCII white space.
 
-    A-Z count as a-z; words are separated by ASCII white space. Texts of fewer words are one shingle;
-    texts without words, null and empty ones too, have the fingerprint zero.
+    A text of fewer words is one shingle, one without words, null and empty too, has none.
     """
     found = (text or "").encode().lower().split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(found) <= words:
         hashes = [xxhash.xxh64_intdigest(b" ".join(found), seed)]
     else:
@@ -51,8 +55,15 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
         starts = [0, *(ends[:-words]).tolist()]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], seed) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())]
+    return np.array(hashes, np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is set if it is set in over half of the hashes; zero for no hashes."""
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, dtype=np.int64)
-    table = np.array(hashes, dtype=">u8")
+    table = hashes.astype(">u8")
     # In slices, so that long texts need no more memory than short ones.
     for i in range(0, len(table), 1 << 16):
         part = table[i : i + (1 << 16)]
@@ -61,6 +72,19 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
 
 
+def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
+    """The majority of a text's shingles; zero for texts without words."""
+    return majority(shingle_hashes(text, words, seed))
+
+
+def bands(hashes: np.ndarray, n: int = BANDS) -> list[int]:
+    """`n` numbers, each made of two minima over the shingles' hashes; all zero for no hashes."""
+    if not len(hashes):
+        return [0] * n
+    least = [int((hashes * np.uint64(2 * k + 1) ^ (hashes >> np.uint64(k % 29 + 17))).min()) for k in range(3, 2 * n + 3)]
+    return [_signed(xxhash.xxh64_intdigest(b"%d:%d" % (least[2 * i], least[2 * i + 1]), i)) for i in range(n)]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -239,3 +263,72 @@ def near_copies(
     for path in (nodes_path, rooted_path):
         discard(documents.sparkSession, path)
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def similar(
+    documents: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    words: int = WIDE_WORDS,
+    radius: int = WIDE_RADIUS,
+    n_bands: int = BANDS,
+) -> DataFrame:
+    """(doc_id, content, group) per row: which texts are near copies by a wide radius.
+
+    `content` is a hash of the text, by which rows of equal ids are told apart. `group` is a number that the members
+    share; all texts without words are one group. Texts with equal fingerprints are one node.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, keys = [], []
+            for t in batch.column(2):
+                hashes = shingle_hashes(t.as_py(), words)
+                fps.append(_signed(majority(hashes)))
+                keys.append(bands(np.unique(hashes), n_bands))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "content", "fp", "bands"],
+            )
+
+    spark = documents.sparkSession
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("content"), F.col(text).alias("text"))
+    kind = dict(rows.dtypes)["doc_id"]
+    seen, _ = stored(rows.mapInArrow(run, f"doc_id {kind}, content bigint, fp bigint, bands array<bigint>"), "similar")
+    dealt = seen.select("fp", F.posexplode("bands").alias("band", "key")).distinct()
+    # A shard of one fingerprint links nothing.
+    shared = dealt.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).where("n > 1")
+    dealt = dealt.join(shared, ["band", "key"])
+    # Whoever is near its shard's smallest fingerprint is linked with it, wherever the row is; a group of copies
+    # of any size mostly ends here. The others are met with their shard in the tree.
+    to_pivot = F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= radius
+    dealt, _ = stored(dealt.select(F.concat_ws(".", "band", "key").alias("shard"), "fp", "pivot", to_pivot.alias("near")), "dealt")
+    stars = dealt.where("near and fp <> pivot").select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
+    apart = dealt.where("not near").select("shard").distinct().withColumnRenamed("shard", "its_shard")
+    rest = dealt.join(apart, F.col("shard") == F.col("its_shard"), "left_semi")
+    trees = (
+        rest.select("shard", "fp")
+        .repartition(spread(spark), "shard")
+        .sortWithinPartitions("shard")
+        .mapInArrow(lambda batches: _links_of_shards(batches, radius), "a bigint, b bigint")
+    )
+    roots = components(stars.unionByName(trees).distinct())
+    return seen.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "doc_id", "content", F.coalesce("root", "fp").alias("group")
+    )
+
+
+def one_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents without their near copies: of each group the row with the smallest id, then content, stays.
+
+    Rows that are equal in id and text stay as one, too. A row without an id stays only if none of its group has one.
+    """
+    found = similar(documents, doc_id, text, **options)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "content")
+    first = found.groupBy("group").agg(F.min(order).alias("first"))
+    key, content = unused("kept_id", documents.columns), unused("kept_content", documents.columns)
+    first, _ = stored(first.select(F.col("first.doc_id").alias(key), F.col("first.content").alias(content)), "kept")
+    kept = documents.join(
+        first, documents[doc_id].eqNullSafe(first[key]) & (F.xxhash64(documents[text]) == first[content]), "left_semi"
+    )
+    return kept.dropDuplicates([doc_id, text])
