@@ -12,6 +12,7 @@ from tidemark.llm import (
     decontaminate,
     language_id,
     quality,
+    repeats,
     secret_scan,
     sentencepieces,
     simhash,
@@ -244,3 +245,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(documents, may_train(F.col("doc_id")))
     found = language_id.predict(documents.select("doc_id", "text"), model)
     return found.select("doc_id", (~may_train(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_repeated_strings")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
