@@ -188,12 +188,12 @@ def _ranges(places: list[int]) -> list[dict]:
 
 
 FOUND = "key bigint, kind bigint, ranges array<struct<since:int,until:int>>"
+RANGE = pa.struct([("since", pa.int32()), ("until", pa.int32())])
+FOUND_ARROW = pa.schema([("key", pa.int64()), ("kind", pa.int64()), ("ranges", pa.list_(RANGE))])
 
 
 def _sorted_keys(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, kind, place, bytes) come sorted by key; whole keys are sorted together."""
-    schema = to_arrow_schema(T.StructType.fromDDL(FOUND))
-
     def answer(held: list[tuple]) -> pa.RecordBatch:
         buffer = b"".join(r[3] for r in held)
         sizes = np.array([len(r[3]) for r in held])
@@ -212,7 +212,7 @@ def _sorted_keys(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
                 np.split(offset[hit], np.flatnonzero(np.diff(which[hit])) + 1) if len(hit) else [],
             )
         ]
-        return pa.RecordBatch.from_pylist(out, schema=schema)
+        return pa.RecordBatch.from_pylist(out, schema=FOUND_ARROW)
 
     held, windows = [], 0
     for batch in batches:
