@@ -11,6 +11,7 @@ A sample is kept as 16 bits of a hash of (t, s); different ones look equal once
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ runs_on_executors(__name__)
 
 SAMPLES, SEED = 128, 42
 # (term, weight) pairs whose draws a task remembers, and those worked on at a time.
-REMEMBERED, PART = 60_000, 2_048
+REMEMBERED, PART = 100_000, 2_048
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -38,21 +39,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
-    """In (0, 1)."""
-    return ((_mix(x) >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-24)
+    """In (0, 1), from the upper 24 of 32 bits."""
+    return ((x.astype(np.uint32) >> np.uint32(8)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-24)
 
 
 def draws(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray]:
     """(what the sample minimises, 16 bits of the sample) per term hash and sample."""
     key = terms[:, None] + np.arange(samples, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)
-    u = [_uniform(key ^ np.uint64(0xD1B54A32D192ED03 * i % 2**64)) for i in range(1, 6)]
-    r = -np.log(u[0] * u[1])
-    c = -np.log(u[2] * u[3])
-    s = np.floor(np.log(weights.astype(np.float32))[:, None] / r + u[4])
-    cost = np.log(c) - r * (s - u[4] + 1)
-    # s is a small whole number, zero for the weight one.
-    mark = _mix(terms[:, None] ^ _mix(s.astype(np.int64).astype(np.uint64) + np.uint64(SEED))) >> np.uint64(48)
-    return cost, mark.astype(np.uint16)
+    bits = [_mix(key ^ np.uint64(0xD1B54A32D192ED03 * i % 2**64)) for i in range(1, 4)]
+    high = np.uint64(32)
+    r = -np.log(_uniform(bits[0]) * _uniform(bits[0] >> high))
+    c = -np.log(_uniform(bits[1]) * _uniform(bits[1] >> high))
+    b = _uniform(bits[2])
+    s = np.zeros(key.shape, np.float32)
+    # The logarithm of the weight one is zero, and s too.
+    several = np.flatnonzero(weights > 1)
+    if len(several):
+        s[several] = np.floor(np.log(weights[several].astype(np.float32))[:, None] / r[several] + b[several])
+    cost = np.log(c) - r * (s - b + 1)
+    mark = np.repeat((terms >> np.uint64(48)).astype(np.uint16)[:, None], samples, axis=1)
+    mark[several] ^= (_mix(s[several].astype(np.int64).astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+    return cost, mark
 
 
 class Sampler:
@@ -138,11 +145,16 @@ def followed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     a null id come last. Rows with equal ids follow each other by text, the larger first.
     """
     rows = documents.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    n = ranges or spread(documents.sparkSession)
+    # More ranges than partitions, so that these come out even.
+    n = ranges or 8 * spread(documents.sparkSession)
     cuts = sorted(set(rows.approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    limits = F.array(*(F.lit(-int(c)).cast("long") for c in reversed(cuts))) if cuts else F.array().cast("array<bigint>")
-    # Range 0 has the largest ids.
-    at = F.when(F.col("id").isNull(), len(cuts)).otherwise(F.size(F.filter(limits, lambda c: -F.col("id") > c)))
+    # Range 0 has the largest ids. Few of the limits are looked at: some that lie far apart, then those in between.
+    limits = sorted({-int(c) for c in cuts})
+    step = max(1, math.isqrt(len(limits)))
+    array = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs)).cast("array<bigint>")
+    passed = lambda xs: F.size(F.filter(xs, lambda c: -F.col("id") > c))
+    whole = passed(array(limits[step - 1 :: step])) * step
+    at = F.when(F.col("id").isNull(), len(limits)).otherwise(whole + passed(F.slice(array(limits), whole + 1, step)))
     rows = rows.select(at.cast("int").alias("at"), "id", "text", F.lit(True).alias("kept"))
     # One row per range, found by ids alone and then fetched.
     order = F.struct(F.col("id").isNotNull().alias("has"), "id", "text")
