@@ -96,3 +96,18 @@ def test_registry(spark):
         registry.get("nothing")
     assert registry.names() == ["keep_a"] and registry.choices() == [("keep_a", "Drop b")]
     assert registry.get("keep_a")(spark.createDataFrame([("a",), ("b",)], "v string")).count() == 1
+
+
+def test_upsert_keeps_the_rows_without_a_partition(spark, tmp_path):
+    path, schema = f"{tmp_path}/t", "k int, v string, p int"
+    upsert_partitions(spark.createDataFrame([(1, "a", 1), (2, "b", None), (5, "e", None)], schema), path, ["k"], "p")
+    upsert_partitions(spark.createDataFrame([(3, "c", None), (5, "f", None)], schema), path, ["k"], "p")
+    rows = spark.read.schema(schema).parquet(path).collect()
+    assert {tuple(r) for r in rows} == {(1, "a", 1), (2, "b", None), (3, "c", None), (5, "f", None)}
+    assert [f.name for f in tmp_path.iterdir()] == ["t"]
+
+
+def test_upsert_refuses_a_repeated_key(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "a", 1), (1, "b", 1)], "k int, v string, p int")
+    with pytest.raises(ValueError):
+        upsert_partitions(frame, f"{tmp_path}/t", ["k"], "p")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -38,20 +39,37 @@ def upsert_partitions(
 
     Only the partitions in the batch are read and rewritten. Their names pass through the driver;
     there are as many as the batch has days or months. The batch, so that it is computed once, and
-    the merged rows, as a table cannot be read while it is overwritten, are staged beside it.
+    the merged rows, as a table cannot be read while it is overwritten, are staged beside it, under
+    names of this call. Rows without a partition value are a partition as well. A batch that holds a key
+    twice is refused, since either row could win.
     """
-    spark, table = changes.sparkSession, path.rstrip("/")
-    batch = _staged(changes, f"{table}.batch")
+    spark, table = changes.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    try:
+        _upsert_partitions(spark, _staged(changes, f"{table}.batch"), path, f"{table}.merged", keys, partition)
+    finally:
+        for staged in (f"{table}.batch", f"{table}.merged"):
+            where = spark._jvm.org.apache.hadoop.fs.Path(staged)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _upsert_partitions(
+    spark: SparkSession, batch: DataFrame, path: str, staging: str, keys: Sequence[str], partition: str
+) -> None:
+    if not batch.groupBy(*keys).count().where("count > 1").isEmpty():
+        raise ValueError(f"the batch holds a key ({', '.join(keys)}) more than once")
     try:
         # Columns in the batch's order, so that the merged rows line up with the stored ones.
-        base = spark.read.schema(changes.schema).parquet(path)
+        base = spark.read.schema(batch.schema).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return fan_out(batch, partition, path)
     touched = [r[0] for r in batch.select(partition).distinct().collect()]
-    merged = upsert(base.where(F.col(partition).isin(touched)), batch, keys)
-    writer = _staged(merged, f"{table}.merged").write.mode("overwrite")
+    held = F.col(partition).isin([value for value in touched if value is not None])
+    if None in touched:
+        held = held | F.col(partition).isNull()
+    merged = upsert(base.where(held), batch, keys)
+    writer = _staged(merged, staging).write.mode("overwrite")
     writer.option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
