@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import READING_NAME
 from tidemark.operators import slices
 from tidemark.operators.slices import find_cuts
 from tidemark.operators.uploads import (
@@ -238,3 +239,8 @@ def test_complete_sets(spark):
     assert {r.set_id for r in whole.collect()} == {"a"} and whole.count() == 2
     assert {r.set_id: r.status for r in status.collect()} == {
         "a": "complete", "b": "truncated", "c": "abandoned", "d": "open", "e": "empty"}
+
+
+def test_reading_names_are_matched_whole(spark):
+    names = spark.createDataFrame([("abc",), ("abc\n",), ("",)], "n string")
+    assert [r[0] for r in names.select(F.col("n").rlike(READING_NAME)).collect()] == [True, False, False]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # The shapes that the visit log and the webhook accept.
 DASHBOARD_UID = r"/d(?:-solo)?/([^/]+)"
-READING_NAME = r"^[A-Za-z0-9_]+$"
+READING_NAME = r"\A[A-Za-z0-9_]+\z"
 MAX_READINGS = 100
 MAX_READING_LENGTH = 1000
 QUERY_TEXT_LENGTH = 2000

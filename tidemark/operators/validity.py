@@ -41,7 +41,8 @@ def validity(
     no ISO 8601 date-time, or an end that is not after the start rejects the upload.
     """
     chosen = F.coalesce(F.nullif(F.col(mode), F.lit("")), F.lit(default))
-    texts = {v: F.coalesce(F.trim(F.col(v)), F.lit("")) for v in (v_from, v_until)}
+    blanks = r"\A\s+|\s+\z"
+    texts = {v: F.coalesce(F.regexp_replace(v, blanks, ""), F.lit("")) for v in (v_from, v_until)}
     parsed = {v: F.when(t != "", iso_timestamp(t)) for v, t in texts.items()}
     start = F.coalesce(parsed[v_from], F.col(arrived))
     period = chosen == PERIOD
