@@ -10,8 +10,9 @@ of one anchor are a run of neighbouring starts. It is halved by the anchor's pla
 3. Different halves with one key may share some windows. One of each kind goes, with its bytes, to its key's task.
    There the windows are sorted as suffixes cut at `LENGTH`: by a multikey quicksort of eight bytes at a step to a depth of `SHALLOW`,
    which leaves out what is alone; a blind trie orders each group that still agrees.
-4. A key with more than `MOST` kinds isn't gathered: its windows are counted by a digest of 128 bits, which spreads
-   them over all tasks.
+4. A key with more than `MOST` kinds isn't gathered. Its runs are halved by the anchor's place in the window, again and again: the
+   windows of a smaller run share more bytes, whose hash is a finer key, and kinds that differ elsewhere become equal there.
+   So steps 2 and 3 deal with the parts. A run of one window is its shared bytes, so that this ends.
 """
 
 from __future__ import annotations
@@ -226,6 +227,84 @@ def _sorted_keys(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         yield answer(held)
 
 
+CELL = "key bigint, kind bigint, place int, first int, bytes binary, finer bigint, low int, high int"
+
+
+def _cells(batches: Iterator[pa.RecordBatch], length: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Halves each row's range `low` to `high` of the anchor's place in a window, and its bytes by that; see `_in_cells`."""
+    digest = xxhash.xxh64_intdigest
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            data, place, middle = r["bytes"], r["place"], (r["low"] + r["high"]) // 2
+            for low, high in ((r["low"], middle), (middle + 1, r["high"])):
+                most, least = min(high, place), max(low, place - len(data) + length)
+                if least <= most:
+                    part = data[place - most : place - least + length]
+                    shared = data[place - low : place - high + length]
+                    out.append(
+                        {
+                            **r,
+                            "place": most,
+                            "first": r["first"] + place - most,
+                            "bytes": part,
+                            "finer": _signed(digest(b"%d:%d:" % (r["finer"], low) + shared)),
+                            "sub": _signed(digest(part, most)),
+                            "low": low,
+                            "high": high,
+                        }
+                    )
+        yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+
+def _in_cells(crowded: DataFrame, length: int, gram: int, most: int) -> DataFrame:
+    """(key, kind, ranges) of keys with more than `most` kinds, given their (key, kind, place, bytes).
+
+    A cell is a range of the anchor's place in the window. In a round each run is cut by the halves of its cell; what all
+    windows of the half share is hashed to `finer`, and what the run spans to `sub`. Equal ones of two kinds repeat each other, and
+    one of each goes on: to its task if `finer` has up to `most`, else to the next round. Rounds are as many as halvings.
+    """
+    spark = crowded.sparkSession
+    half = (length - gram) // 2
+    side = F.col("place") >= half
+    todo = crowded.select(
+        "key",
+        "kind",
+        "place",
+        F.lit(0).alias("first"),
+        "bytes",
+        F.col("key").alias("finer"),
+        F.when(side, half).otherwise(0).alias("low"),
+        F.when(side, length - gram).otherwise(half - 1).alias("high"),
+    )
+    shape = T.StructType.fromDDL(CELL + ", sub bigint")
+    schema = to_arrow_schema(shape)
+    found = spark.createDataFrame([], FOUND)
+    while not todo.isEmpty():
+        cells, _ = stored(todo.mapInArrow(lambda batches: _cells(batches, length, schema), shape), "cells")
+        one = F.min(F.struct("key", "kind", "place", "first", "bytes", "low", "high")).alias("one")
+        subs, _ = stored(cells.groupBy("finer", "sub").agg(F.count("*").alias("copies"), one), "subs")
+        until = F.col("first") + F.octet_length("bytes") - length
+        whole = cells.join(subs.where("copies > 1").select("finer", "sub"), ["finer", "sub"], "left_semi").select(
+            "key", "kind", F.array(F.struct(F.col("first").alias("since"), until.alias("until"))).alias("ranges")
+        )
+        crowd = subs.groupBy("finer").agg(F.count("*").alias("kinds")).where("kinds > 1")
+        apart, _ = stored(subs.join(crowd, "finer").select("finer", "sub", "copies", "one.*", "kinds"), "apart")
+        few = apart.where(F.col("kinds") <= most)
+        sorted_cells = (
+            few.select(F.col("finer").alias("key"), F.col("sub").alias("kind"), "place", "bytes")
+            .repartition(spread(spark), "key")
+            .sortWithinPartitions("key")
+            .mapInArrow(lambda batches: _sorted_keys(batches, length), FOUND)
+            .select(F.col("key").alias("finer"), F.col("kind").alias("sub"), "ranges")
+        )
+        shifted = F.transform("ranges", lambda r: F.struct((F.col("first") + r["since"]).alias("since"), (F.col("first") + r["until"]).alias("until")))
+        partly = few.where("copies = 1").join(sorted_cells, ["finer", "sub"]).select("key", "kind", shifted.alias("ranges"))
+        found = found.unionByName(whole).unionByName(partly)
+        todo = apart.where(F.col("kinds") > most).select("key", "kind", "place", "first", "bytes", "finer", "low", "high")
+    return found
+
+
 def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """(doc_id, content, ranges) of the texts with windows that also start elsewhere, as ranges of starts.
 
@@ -296,26 +375,10 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         .mapInArrow(lambda batches: _sorted_keys(batches, length), FOUND)
     )
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, which, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                n = len(data) - length + 1
-                made = [xxhash.xxh3_128_digest(data[i : i + length]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * n, pa.int64()), pa.array([which] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(made, pa.binary())],
-                    names=["key", "kind", "at", "digest"],
-                )
-
-    windows = pieces.where(F.col("kinds") > most).select("key", "kind", "bytes")
-    windows = windows.mapInArrow(digests, "key bigint, kind bigint, at int, digest binary")
-    several = windows.distinct().groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    by_count = (
-        windows.join(several, "digest")
-        .groupBy("key", "kind")
-        .agg(F.collect_set("at").alias("places"))
-        .select("key", "kind", F.transform("places", lambda p: F.struct(p.alias("since"), p.alias("until"))).alias("ranges"))
+    by_cells = _in_cells(
+        pieces.where(F.col("kinds") > most).dropDuplicates(["key", "kind"]).select("key", "kind", "place", "bytes"), length, gram, most
     )
-    partly = by_sort.unionByName(by_count)
+    partly = by_sort.unionByName(by_cells)
     whole = kinds.where("copies > 1").select(
         "key", "kind", F.array(F.struct(F.lit(0).alias("since"), (F.col("one.n") - 1).alias("until"))).alias("ranges")
     )
