@@ -70,9 +70,8 @@ def history(rng, keys, links, days):
     return lefts, rights
 
 
-@pytest.mark.parametrize("rows_per_task,pairs,block", [(None, 100, 64), (2, 0, 2), (None, 0, 1)])
-def test_equals_replay(spark, monkeypatch, rows_per_task, pairs, block):
-    monkeypatch.setattr(temporal, "PAIRS_PER_ROW", pairs)
+@pytest.mark.parametrize("rows_per_task,block", [(None, 64), (2, 2), (None, 1)])
+def test_equals_replay(spark, monkeypatch, rows_per_task, block):
     monkeypatch.setattr(temporal, "NEWS_PER_BLOCK", block)
     rng = random.Random(7)
     all_left, all_right, expected = [], [], []
@@ -93,6 +92,32 @@ def test_equals_replay(spark, monkeypatch, rows_per_task, pairs, block):
     assert rows == sorted(expected, key=lambda r: r[:2])
 
 
+def test_a_change_at_the_end_of_time_counts(spark):
+    left = spark.sql("SELECT 'i' AS item, timestamp'2020-01-01' AS at, 'c' AS link")
+    right = spark.range(65).selectExpr(
+        "'c' AS comp",
+        "if(id = 64, timestamp'9999-12-31 23:59:59', timestamp'2021-01-01' + make_dt_interval(int(id))) AS at",
+        "id AS n",
+    )
+    got = temporal_join(left, right, "at", "at", "item", [("link", "comp")])
+    assert got.count() == 66 and got.where("rhs.n = 64").count() == 1
+
+
+def test_a_hot_link_meets_only_what_it_needs(spark):
+    plain = "string(id) AS _link0"
+    spans = spark.range(200).selectExpr(
+        "id AS item", "'hot' AS _link0", "id * 100 AS _first", "id * 100 + 100 AS _last", "false AS _lasting"
+    ).union(spark.range(2000).selectExpr("id + 1000", plain, "0L", "NULL", "true"))
+    news = spark.range(20_000).selectExpr("'hot' AS _link0", "id AS ts", "id AS rhs").union(
+        spark.range(2000).selectExpr(plain, "5L", "id")
+    )
+    met = temporal._meet(spans, news, ["_link0"], None)
+    inside = met.where("ts > _first AND (_lasting OR ts < _last)")
+    assert inside.count() == 200 * 99 + 2000
+    # All pairs would be 4,002,000.
+    assert met.count() <= 200 * (99 + 2 * temporal.NEWS_PER_BLOCK) + 2000
+
+
 def test_theta_equals_replay(spark):
     rng = random.Random(11)
     all_left, all_right, expected = [], [], []

@@ -14,9 +14,6 @@ from tidemark.operators.slices import AUTO, Cuts, find_cuts, running_count, slic
 from tidemark.session import written
 
 
-PAIRS_PER_ROW = 100
-"""Up to this many pairs per input row, spans and news are simply joined on the link."""
-
 NEWS_PER_BLOCK = 64
 
 
@@ -114,7 +111,7 @@ def temporal_join(
             F.bool_or(F.col("_end").isNull()).alias("_lasting"),
         )
     )
-    met = _meet(spans, news, links, link_cuts, _crowded(lefts.where(linked), rights, links))
+    met = _meet(spans, news, links, link_cuts)
     ticks = (
         met.where(F.col("ts") > F.col("_first"))
         .where(F.col("_lasting") | (F.col("ts") < F.col("_last")))
@@ -245,47 +242,26 @@ def periods(
     return following.withColumn("days", F.datediff(end, F.col(ts))).drop("_start")
 
 
-def _crowded(lefts: DataFrame, rights: DataFrame, links: list[str]) -> bool:
-    """Whether pairing all spans of a link with all its news would be far from linear."""
-    pairs = (
-        lefts.groupBy(*links)
-        .agg(F.count(F.lit(1)).alias("_l"))
-        .join(rights.groupBy(*links).agg(F.count(F.lit(1)).alias("_r")), links)
-        .agg(
-            F.sum(F.col("_l").cast("double") * F.col("_r")).alias("pairs"),
-            F.sum(F.col("_l") + F.col("_r")).alias("rows"),
-        )
-        .first()
-    )
-    return bool(pairs["rows"]) and pairs["pairs"] > PAIRS_PER_ROW * pairs["rows"]
-
+def _meet(spans: DataFrame, news: DataFrame, links: list[str], cuts: Cuts | None) -> DataFrame:
+    """Each span with the news of its link; a few news outside the span may be among them.
 
-def _meet(
-    spans: DataFrame, news: DataFrame, links: list[str], cuts: Cuts | None, crowded: bool
-) -> DataFrame:
-    """Each span with the news of its link; news outside the span may be among them.
-
-    On a crowded link most pairs would be outside. There the news are numbered, both ends of a span
-    look up their number, and the span meets only the blocks of news in between: the work is
-    linear in the spans and in what the result needs.
+    The news of a link are numbered, both ends of a span look up their number, and the span meets only
+    the blocks of news in between: the work is linear in the spans and in what the result needs, however
+    many spans and news share a link. A span without an end reaches to the link's last number.
     """
-    if not crowded:
-        return spans.join(news, links)
     numbered = running_count(news, links, ["ts"], "_n", cuts).withColumn(
         "_block", F.floor((F.col("_n") - 1) / NEWS_PER_BLOCK)
     )
     marks = numbered.select(*links, F.col("ts").alias("at"), F.col("_n").alias("n"))
-    time = spans.schema["_first"].dataType
-    until = F.when(F.col("_lasting"), F.lit("9999-12-31").cast(time)).otherwise(F.col("_last"))
-    ends = asof_join(
-        spans.withColumn("_until", until), marks, "_first", "at", links, prefix="_from_", cuts=cuts
-    )
-    ends = asof_join(ends, marks, "_until", "at", links, how="inner", prefix="_to_", cuts=cuts)
+    totals = numbered.groupBy(*links).agg(F.max("_n").alias("_total"))
+    ends = asof_join(spans, marks, "_first", "at", links, prefix="_from_", cuts=cuts)
+    # A lasting span has no end of its own to look up.
+    ends = ends.withColumn("_until", F.when(F.col("_lasting"), F.col("_first")).otherwise(F.col("_last")))
+    ends = asof_join(ends, marks, "_until", "at", links, prefix="_to_", cuts=cuts).join(totals, links)
     before = F.coalesce("_from_n", F.lit(0))
-    blocks = F.sequence(
-        F.floor(before / NEWS_PER_BLOCK), F.floor((F.col("_to_n") - 1) / NEWS_PER_BLOCK)
-    )
-    reaching = ends.where(F.col("_to_n") > before).withColumn("_block", F.explode(blocks))
+    upto = F.when(F.col("_lasting"), F.col("_total")).otherwise(F.coalesce("_to_n", F.lit(0)))
+    blocks = F.sequence(F.floor(before / NEWS_PER_BLOCK), F.floor((upto - 1) / NEWS_PER_BLOCK))
+    reaching = ends.where(upto > before).withColumn("_block", F.explode(blocks))
     return reaching.join(numbered, [*links, "_block"])
 
 
