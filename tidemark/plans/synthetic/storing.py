@@ -44,6 +44,21 @@ def csv_nulls(spark, sf):
     return read_csv(spark, path, "event_id long, paid double")
 
 
+@query(
+    "s1_csv_quoted",
+    """SELECT c_custkey, 'say "' || c_name || '", C:\\dir\\' AS said, 'two' || chr(10) || 'lines' AS note
+    FROM customer""",
+)
+def csv_quoted(spark, sf):
+    path = work_path(spark, "csv")
+    line = F.concat(F.col("c_custkey"), F.lit(',"say ""'), F.col("c_name"), F.lit('"", C:\\dir\\","two\nlines"'))
+    # Raw text, a thousand rows below a header to a file.
+    files = load(spark, sf, "customer").groupBy((F.col("c_custkey") / 1000).cast("long").alias("file"))
+    text = F.concat(F.lit("c_custkey,said,note\n"), F.array_join(F.collect_list(line), "\n"))
+    files.agg(text.alias("value")).write.partitionBy("file").text(path)
+    return read_csv(spark, f"{path}/*", "c_custkey long, said string, note string", multi_line=True)
+
+
 @query(
     "s2_csv_text_then_dates",
     "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS logged FROM orders",

@@ -97,9 +97,11 @@ def convert(
 ) -> DataFrame:
     """Convert CSV or JSON files to Parquet, one table per input file, named after its stem.
 
-    All files go through one job, which takes files of equal layout; `options` go to the reader.
+    All files go through one job, which takes files of equal layout; `options` go to the reader. Quotes in
+    quoted CSV fields are doubled; `multiLine` is the option for line breaks in them.
     """
-    defaults = {"csv": {"header": "true", "mode": "FAILFAST"}, "json": {"multiLine": "true"}}
+    csv = {"header": "true", "mode": "FAILFAST", "quote": '"', "escape": '"'}
+    defaults = {"csv": csv, "json": {"multiLine": "true"}}
     reader = spark.read.format(fmt).schema(schema).options(**{**defaults[fmt], **(options or {})})
     rows = reader.load(files)
     name = F.col("_metadata.file_name")

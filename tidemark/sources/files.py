@@ -11,13 +11,24 @@ from pyspark.sql import types as T
 from tidemark.functions import MAX_READING_LENGTH, MAX_READINGS, READING_NAME
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str, multi_line: bool = False
+) -> DataFrame:
     """CSV with a header and declared types; empty is NULL, a misfit fails the read.
 
-    The header is checked against the declared names, as the columns go by position.
+    The header is checked against the declared names, as the columns go by position. A quote in a quoted
+    field is doubled, a backslash is a character like any other. Pass `multi_line` for files with line
+    breaks in quoted fields; such a file is read by one task, as it can't be split.
     """
     return spark.read.schema(schema).csv(
-        path, header=True, mode="FAILFAST", enforceSchema=False, nullValue=""
+        path,
+        header=True,
+        mode="FAILFAST",
+        enforceSchema=False,
+        nullValue="",
+        quote='"',
+        escape='"',
+        multiLine=multi_line,
     )
 
 
