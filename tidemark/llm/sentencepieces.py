@@ -293,6 +293,20 @@ def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str:
     return found.removeprefix(b" ").decode("utf-8", "replace")
 
 
+def decode_lists(vocabulary: Vocabulary, lists: pa.ListArray) -> list[str | None]:
+    """The text of each list of ids; null for null, and for lists with a null as for an id that the vocabulary has not."""
+    flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    ids = flat.fill_null(-1).to_numpy(zero_copy_only=False)
+    surfaces = [*vocabulary.surfaces, b"\xff"]
+    # What the vocabulary has not is decoded as the last surface.
+    parts = [surfaces[i] for i in np.where((ids < 0) | (ids >= len(surfaces) - 1), len(surfaces) - 1, ids).tolist()]
+    known = lists.is_valid().to_pylist()
+    ends = ends.tolist()
+    return [
+        b"".join(parts[a:b]).removeprefix(b" ").decode("utf-8", "replace") if k else None for k, a, b in zip(known, ends, ends[1:])
+    ]
+
+
 def encode(
     documents: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -327,7 +341,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", to: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(ids)
-            texts = [None if x is None else decode_ids(shared.value, x) for x in batch.column(at).to_pylist()]
+            texts = decode_lists(shared.value, batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, to])
 
     schema = ", ".join(f"`{n}` {k}" for n, k in [*encoded.dtypes, (to, "string")])
