@@ -24,3 +24,28 @@ def test_copies_go_and_others_stay(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want | {9000})
     assert simhash.one_each(docs.limit(0)).collect() == []
+
+
+def with_similarity(rng, shared, own):
+    """Two texts that share `shared` five-word shingles and have `own` more each; their similarity is shared / (shared + 2 own)."""
+    word = lambda: "".join(rng.choices("abcdefgh", k=8))
+    common = [word() for _ in range(shared + 4)]
+    return [" ".join(common + [word() for _ in range(own)]) for _ in range(2)]
+
+
+def kept_apart(spark, planted):
+    """How many of each kind's pairs stay two documents; `planted` has a list of pairs for each kind."""
+    pairs = [(kind, pair) for kind, some in planted.items() for pair in some]
+    rows = [(2 * i + k, text) for i, (_, pair) in enumerate(pairs) for k, text in enumerate(pair)]
+    kept = {r.doc_id for r in simhash.one_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(2 * i in kept for i in range(len(pairs)))
+    return {kind: sum(k == kind and 2 * i + 1 in kept for i, (k, _) in enumerate(pairs)) for kind in planted}
+
+
+def test_only_pairs_of_the_similarity_are_copies(spark):
+    rng = random.Random(5)
+    # (shared, own): 0.6, 0.7, 0.79 and just below 0.8; then 0.8 itself and 0.81.
+    below, above = [(300, 100), (280, 60), (316, 42), (399, 50)], [(400, 50), (324, 38)]
+    found = kept_apart(spark, {kind: [with_similarity(rng, *kind) for _ in range(60)] for kind in below + above})
+    assert [found[kind] for kind in below] == [60] * 4
+    assert max(found[kind] for kind in above) <= 2

@@ -10,9 +10,11 @@ bits that it doesn't share yet, so no task gets a group without bound.
 
 A shard answers with a link to one representative per local component, not with all pairs.
 
-A radius that stands for a similarity of 0.8 (`WIDE_RADIUS`) leaves no useful block untouched. For it, `similar` deals
-fingerprints to shards by pairs of minima of their shingles' hashes: two texts with a similarity of s share one pair with a
-probability of s * s, and one of `BANDS` with 1 - (1 - s * s) ** BANDS, 0.9997 for 0.8.
+Near copies by similarity (`similar`) need more than a fingerprint: at 0.8 two of them differ in 4 to over 14 bits, and
+so do those of texts at 0.6. Texts are dealt to shards by pairs of minima of their shingles' hashes: two texts with a
+similarity of s share one pair with a probability of s * s, and one of `BANDS` with 1 - (1 - s * s) ** BANDS, 0.9997 for
+0.8. An edge is one whose two sets of shingle hashes have the similarity, counted exactly. Pairs that edges connect
+already aren't compared.
 """
 
 from __future__ import annotations
@@ -35,7 +37,10 @@ SEED = 42
 WORDS = 3
 RADIUS = 2
 SHARD_SIZE = 20_000
-WIDE_RADIUS, WIDE_WORDS, BANDS = 14, 5, 8
+WIDE_WORDS, BANDS = 5, 8
+# Four fifths: a quotient of whole numbers, so that a pair on the edge is neither lost nor found by rounding.
+SIMILARITY = (4, 5)
+PIECE = 500
 
 
 def shingle_hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -85,6 +90,11 @@ def bands(hashes: np.ndarray, n: int = BANDS) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(b"%d:%d" % (least[2 * i], least[2 * i + 1]), i)) for i in range(n)]
 
 
+def set_number(hashes: np.ndarray) -> int:
+    """A number for a sorted set of hashes; zero for no hashes."""
+    return _signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)) if len(hashes) else 0
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -270,52 +280,216 @@ def similar(
     doc_id: str = "doc_id",
     text: str = "text",
     words: int = WIDE_WORDS,
-    radius: int = WIDE_RADIUS,
+    similarity: tuple[int, int] = SIMILARITY,
     n_bands: int = BANDS,
 ) -> DataFrame:
-    """(doc_id, content, group) per row: which texts are near copies by a wide radius.
+    """(doc_id, content, group) per row: which texts are near copies by the exact similarity of their shingles.
 
     `content` is a hash of the text, by which rows of equal ids are told apart. `group` is a number that the members
-    share; all texts without words are one group. Texts with equal fingerprints are one node.
+    share; all texts without words are one group. Texts with the same set of shingles are one node.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, keys = [], []
+            nodes, sizes, keys = [], [], []
             for t in batch.column(2):
-                hashes = shingle_hashes(t.as_py(), words)
-                fps.append(_signed(majority(hashes)))
-                keys.append(bands(np.unique(hashes), n_bands))
+                hashes = np.unique(shingle_hashes(t.as_py(), words))
+                nodes.append(set_number(hashes))
+                sizes.append(len(hashes))
+                keys.append(bands(hashes, n_bands) if len(hashes) else [])
+            columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "content", "fp", "bands"],
+                [batch.column(0), batch.column(1), *columns], names=["doc_id", "content", "node", "n_shingles", "bands"]
             )
 
     spark = documents.sparkSession
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("content"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    seen, _ = stored(rows.mapInArrow(run, f"doc_id {kind}, content bigint, fp bigint, bands array<bigint>"), "similar")
-    dealt = seen.select("fp", F.posexplode("bands").alias("band", "key")).distinct()
-    # A shard of one fingerprint links nothing.
-    shared = dealt.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).where("n > 1")
-    dealt = dealt.join(shared, ["band", "key"])
-    # Whoever is near its shard's smallest fingerprint is linked with it, wherever the row is; a group of copies
-    # of any size mostly ends here. The others are met with their shard in the tree.
-    to_pivot = F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= radius
-    dealt, _ = stored(dealt.select(F.concat_ws(".", "band", "key").alias("shard"), "fp", "pivot", to_pivot.alias("near")), "dealt")
-    stars = dealt.where("near and fp <> pivot").select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
-    apart = dealt.where("not near").select("shard").distinct().withColumnRenamed("shard", "its_shard")
-    rest = dealt.join(apart, F.col("shard") == F.col("its_shard"), "left_semi")
-    trees = (
-        rest.select("shard", "fp")
-        .repartition(spread(spark), "shard")
-        .sortWithinPartitions("shard")
-        .mapInArrow(lambda batches: _links_of_shards(batches, radius), "a bigint, b bigint")
+    seen, _ = stored(
+        rows.mapInArrow(run, f"doc_id {kind}, content bigint, node bigint, n_shingles bigint, bands array<bigint>"), "similar"
+    )
+    dealt = seen.select("node", "n_shingles", F.posexplode("bands").alias("band", "key")).distinct()
+    # A shard of one node links nothing.
+    shared = dealt.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
+    dealt, dealt_path = stored(
+        dealt.join(shared, ["band", "key"]).select(
+            F.concat_ws(".", "band", "key").alias("shard"), "node", "n_shingles", "n", "pivot"
+        ),
+        "dealt",
+    )
+    sets, sets_path = stored(_shingle_sets(rows, seen, dealt.select("node").distinct(), words), "sets")
+
+    # Everyone is compared with one of its shards' smallest nodes, then with the others that it isn't connected with yet;
+    # a group of copies of any size mostly ends here.
+    pieces = F.ceil(F.col("n") / PIECE).alias("pieces")
+    pairs = dealt.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), pieces)
+    pairs, pairs_path = stored(pairs.groupBy("a", "b").agg(F.max("pieces").alias("pieces")), "pairs")
+    least = pairs.groupBy("a").agg(F.min(F.struct("b", "pieces")).alias("first")).select("a", "first.*")
+    edges, edges_path = stored(_alike(least, sets, similarity), "alike")
+    roots = components(edges)
+    apart = _rooted(_rooted(pairs, roots, "a", "root_a"), roots, "b", "root_b").where("root_a <> root_b")
+    more, more_path = stored(_alike(apart.select("a", "b", "pieces"), sets, similarity), "alike")
+    edges = edges.unionByName(more)
+    roots = components(edges)
+
+    # What a shard's smallest node doesn't connect is compared with all of the shard that has another root.
+    members, members_path = stored(
+        _rooted(dealt.where("n > 2 and node <> pivot"), roots, "node", "root").select("shard", "node", "n_shingles", "root"),
+        "members",
+    )
+    edges = edges.unionByName(_tiles(members, sets, similarity))
+    roots = components(edges)
+    for path in (dealt_path, sets_path, pairs_path, edges_path, more_path, members_path):
+        discard(spark, path)
+    return seen.join(roots, "node", "left").select("doc_id", "content", F.coalesce("root", "node").alias("group"))
+
+
+def _shingle_sets(rows: DataFrame, seen: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) for the wanted nodes, from the text of one row of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"]
+            )
+
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "content")
+    first = seen.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(order).alias("first"))
+    first = first.select("node", F.col("first.doc_id").alias("its_id"), F.col("first.content").alias("its_content"))
+    texts = rows.join(first, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("content") == F.col("its_content")))
+    return texts.select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
+
+
+def _rooted(table: DataFrame, roots: DataFrame, column: str, to: str) -> DataFrame:
+    """The table with the root of a column's node, which is the node itself if it has no edge."""
+    its = roots.select(F.col("node").alias("its_node"), F.col("root").alias("its_root"))
+    return table.join(its, F.col(column) == F.col("its_node"), "left").select(
+        *table.columns, F.coalesce("its_root", column).alias(to)
+    )
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Those (a, b) of (a, b, pieces) whose sets have the similarity or more; a `b` of many pairs is dealt in pieces."""
+    above, below = similarity
+    left = pairs.join(sets, F.col("a") == F.col("node")).select(
+        "a", "b", F.pmod(F.xxhash64("a"), F.col("pieces")).alias("piece"), F.col("shingles").alias("of_a")
     )
-    roots = components(stars.unionByName(trees).distinct())
-    return seen.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "doc_id", "content", F.coalesce("root", "fp").alias("group")
+    right = (
+        pairs.groupBy("b")
+        .agg(F.max("pieces").alias("pieces"))
+        .join(sets, F.col("b") == F.col("node"))
+        .select("b", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("shingles").alias("of_b"))
     )
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    both = F.size("of_a") + F.size("of_b")
+    return left.join(right, ["b", "piece"]).where(common * (above + below) >= both * above).select("a", "b")
+
+
+def _tiles(members: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Edges (a, b) between the roots of the (shard, node, n_shingles, root) that are alike and met in a shard.
+
+    The members of a shard's largest root needn't be compared with each other, all others with everyone.
+    """
+    weights = members.groupBy("shard", "root").agg(F.sum("n_shingles").alias("weight"))
+    largest = F.max(F.struct("weight", "root")).alias("largest")
+    mixed = weights.groupBy("shard").agg(F.count("*").alias("n_roots"), F.sum("weight").alias("total"), largest)
+    mixed = mixed.where("n_roots > 1").select(
+        "shard",
+        F.col("largest.root").alias("main"),
+        F.lit(1).alias("across"),
+        F.lit(1).alias("down"),
+    )
+    mixed, _ = stored(mixed, "mixed")
+    rows = members.join(mixed, "shard")
+    at = F.xxhash64("node")
+    every = rows.select(
+        "shard", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("y"),
+        F.pmod(at, F.col("across")).alias("x"), F.lit(False).alias("apart"), "node", "root",
+    )
+    apart = rows.where("root <> main").select(
+        "shard", F.pmod(at, F.col("down")).alias("y"),
+        F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"), F.lit(True).alias("apart"), "node", "root",
+    )
+    key = F.concat_ws(".", "shard", "y", "x").alias("tile")
+    return (
+        every.unionByName(apart)
+        .select(key, "apart", "node", "root")
+        .join(sets, "node")
+        .select("tile", "apart", "root", "shingles")
+        .repartition(spread(members.sparkSession), "tile")
+        .sortWithinPartitions("tile")
+        .mapInArrow(lambda batches: _links_of_tiles(batches, similarity), "a bigint, b bigint")
+    )
+
+
+def _links_of_tiles(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by tile; one tile is held at a time."""
+
+    def answer(held: list) -> pa.RecordBatch:
+        apart, roots, sizes = (np.concatenate([h[i] for h in held]) for i in range(3))
+        links = tile_links(apart, roots, sizes, np.concatenate([h[3] for h in held]), similarity)
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], names=["a", "b"])
+
+    tile, held = None, []
+    for batch in batches:
+        keys = np.array(batch.column(0).to_pylist(), object)
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else []
+        for i, j in zip(cuts, cuts[1:]):
+            if keys[i] != tile:
+                if held:
+                    yield answer(held)
+                tile, held = keys[i], []
+            part = batch.slice(i, j - i)
+            held.append(
+                (
+                    part.column(1).to_numpy(zero_copy_only=False),
+                    part.column(2).to_numpy(),
+                    part.column(3).value_lengths().to_numpy(),
+                    part.column(3).flatten().to_numpy(),
+                )
+            )
+    if held:
+        yield answer(held)
+
+
+def tile_links(
+    apart: np.ndarray, roots: np.ndarray, sizes: np.ndarray, shingles: np.ndarray, similarity: tuple[int, int] = SIMILARITY
+) -> list[tuple[int, int]]:
+    """Pairs of roots that connect the sets `apart` with the others that they have the similarity or more with.
+
+    The sets lie one after the other in `shingles`. A pair that the ones before it connect is left out.
+    """
+    above, below = similarity
+    codes = np.unique(shingles, return_inverse=True)[1]
+    starts = np.cumsum(sizes) - sizes
+    mine = np.repeat(apart, sizes)
+    others, other_sizes, other_roots = codes[~mine], sizes[~apart], roots[~apart]
+    if not len(other_sizes):
+        return []
+    other_starts = np.cumsum(other_sizes) - other_sizes
+    marked = np.zeros(len(shingles), bool)
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (above_it := parent.get(x, x)) != x:
+            parent[x] = parent.get(above_it, above_it)
+            x = above_it
+        return x
+
+    links = []
+    for i in np.flatnonzero(apart).tolist():
+        own = codes[starts[i] : starts[i] + sizes[i]]
+        marked[own] = True
+        common = np.add.reduceat(marked[others], other_starts, dtype=np.int64)
+        marked[own] = False
+        near = common * (above + below) >= (other_sizes.astype(np.int64) + int(sizes[i])) * above
+        for other in np.unique(other_roots[near]).tolist():
+            a, b = int(roots[i]), other
+            if top(a) != top(b):
+                parent[top(a)] = top(b)
+                links.append((a, b))
+    return links
 
 
 def one_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
