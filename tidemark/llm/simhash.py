@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, spread, stored, unused
 from tidemark.llm.components import components
+from tidemark.llm.weighted_sampling import _mix
 from tidemark.session import runs_on_executors
 
 runs_on_executors(__name__)
@@ -83,10 +84,13 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def bands(hashes: np.ndarray, n: int = BANDS) -> list[int]:
-    """`n` numbers, each made of two minima over the shingles' hashes; all zero for no hashes."""
+    """`n` numbers, each made of two minima over the shingles' hashes; all zero for no hashes.
+
+    Each minimum mixes the hashes fully under a seed of its own, so that no shingle is the smallest of many at once.
+    """
     if not len(hashes):
         return [0] * n
-    least = [int((hashes * np.uint64(2 * k + 1) ^ (hashes >> np.uint64(k % 29 + 17))).min()) for k in range(3, 2 * n + 3)]
+    least = [int(_mix(hashes ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)).min()) for k in range(2 * n)]
     return [_signed(xxhash.xxh64_intdigest(b"%d:%d" % (least[2 * i], least[2 * i + 1]), i)) for i in range(n)]
 
 
