@@ -63,3 +63,14 @@ def test_bands_fail_independently():
             a, b = hashes[: shared + own], np.concatenate([hashes[:shared], hashes[shared + own :]])
             lost += not any(x == y for x, y in zip(simhash.bands(a), simhash.bands(b)))
         assert lost <= most
+
+
+def test_copies_with_distant_fingerprints_go(spark):
+    rng = random.Random(7)
+    far = []
+    while len(far) < 30:
+        a, b = with_similarity(rng, 160, 20)
+        fps = [simhash.fingerprint(t, simhash.WIDE_WORDS) for t in (a, b)]
+        if (fps[0] ^ fps[1]).bit_count() > 14:
+            far.append((a, b))
+    assert kept_apart(spark, {"far": far})["far"] <= 1
