@@ -74,3 +74,32 @@ def test_copies_with_distant_fingerprints_go(spark):
         if (fps[0] ^ fps[1]).bit_count() > 14:
             far.append((a, b))
     assert kept_apart(spark, {"far": far})["far"] <= 1
+
+
+def test_large_shards_are_cut_to_tiles(spark):
+    # One shard: 600 members of one root, 300 of three others; 100 shingles each.
+    rows = [("s", i, 100, 0 if i < 600 else i % 3 + 1) for i in range(900)]
+    members = spark.createDataFrame(rows, "shard string, node bigint, n_shingles bigint, root bigint")
+    held = {}
+    for r in simhash._tiles(members, 10_000).collect():
+        held.setdefault(r.tile, ([], []))[r.apart].append((r.node, r.root))
+    assert max(len(side) for sides in held.values() for side in sides) <= 150
+    met = [(a, b) for others, apart in held.values() for a in apart for b in others if a[1] != b[1]]
+    want = {(a, b) for _, a, _, r in rows if r for _, b, _, q in rows if q != r}
+    assert len(met) == len(want) and {(a[0], b[0]) for a, b in met} == want
+
+
+def test_tiles_give_the_same_groups(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=8))
+    # All share 150 of 250 words, so that they meet in shards; five of each six are alone, the others have a copy.
+    common, texts, want = [word() for _ in range(150)], [], set()
+    for i in range(120):
+        words = common + [word() for _ in range(100)]
+        want.add(len(texts))
+        texts.append(" ".join(words))
+        if i % 6 == 0:
+            texts.append(" ".join(words[:-5] + [word() for _ in range(5)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id for r in simhash.one_each(docs, tile=2000).collect()} == want
+    assert {r.doc_id for r in simhash.one_each(docs).collect()} == want

@@ -14,7 +14,7 @@ Near copies by similarity (`similar`) need more than a fingerprint: at 0.8 two o
 so do those of texts at 0.6. Texts are dealt to shards by pairs of minima of their shingles' hashes: two texts with a
 similarity of s share one pair with a probability of s * s, and one of `BANDS` with 1 - (1 - s * s) ** BANDS, 0.9997 for
 0.8. An edge is one whose two sets of shingle hashes have the similarity, counted exactly. Pairs that edges connect
-already aren't compared.
+already aren't compared. A shard is cut to tiles of bounded size, so no task gets a group without bound.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ SHARD_SIZE = 20_000
 WIDE_WORDS, BANDS = 5, 8
 # Four fifths: a quotient of whole numbers, so that a pair on the edge is neither lost nor found by rounding.
 SIMILARITY = (4, 5)
-PIECE = 500
+PIECE, TILE = 500, 1 << 20
 
 
 def shingle_hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -286,6 +286,7 @@ def similar(
     words: int = WIDE_WORDS,
     similarity: tuple[int, int] = SIMILARITY,
     n_bands: int = BANDS,
+    tile: int = TILE,
 ) -> DataFrame:
     """(doc_id, content, group) per row: which texts are near copies by the exact similarity of their shingles.
 
@@ -341,7 +342,7 @@ def similar(
         _rooted(dealt.where("n > 2 and node <> pivot"), roots, "node", "root").select("shard", "node", "n_shingles", "root"),
         "members",
     )
-    edges = edges.unionByName(_tiles(members, sets, similarity))
+    edges = edges.unionByName(_joined_tiles(_tiles(members, tile), sets, similarity))
     roots = components(edges)
     for path in (dealt_path, sets_path, pairs_path, edges_path, more_path, members_path):
         discard(spark, path)
@@ -390,38 +391,36 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> Da
     return left.join(right, ["b", "piece"]).where(common * (above + below) >= both * above).select("a", "b")
 
 
-def _tiles(members: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Edges (a, b) between the roots of the (shard, node, n_shingles, root) that are alike and met in a shard.
+def _tiles(members: DataFrame, tile: int) -> DataFrame:
+    """(tile, apart, node, root) from (shard, node, n_shingles, root): two members of different roots meet in a tile.
 
-    The members of a shard's largest root needn't be compared with each other, all others with everyone.
+    The members of a shard's largest root needn't be compared with each other; the others are `apart` and are compared
+    with everyone. Both sides are cut by hash to parts of about `tile` shingles, and each two parts are a tile.
     """
     weights = members.groupBy("shard", "root").agg(F.sum("n_shingles").alias("weight"))
     largest = F.max(F.struct("weight", "root")).alias("largest")
     mixed = weights.groupBy("shard").agg(F.count("*").alias("n_roots"), F.sum("weight").alias("total"), largest)
     mixed = mixed.where("n_roots > 1").select(
-        "shard",
+        F.col("shard").alias("its_shard"),
         F.col("largest.root").alias("main"),
-        F.lit(1).alias("across"),
-        F.lit(1).alias("down"),
+        F.ceil(F.col("total") / tile).alias("across"),
+        F.ceil((F.col("total") - F.col("largest.weight")) / tile).alias("down"),
     )
-    mixed, _ = stored(mixed, "mixed")
-    rows = members.join(mixed, "shard")
-    at = F.xxhash64("node")
-    every = rows.select(
-        "shard", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("y"),
-        F.pmod(at, F.col("across")).alias("x"), F.lit(False).alias("apart"), "node", "root",
-    )
-    apart = rows.where("root <> main").select(
-        "shard", F.pmod(at, F.col("down")).alias("y"),
-        F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"), F.lit(True).alias("apart"), "node", "root",
-    )
-    key = F.concat_ws(".", "shard", "y", "x").alias("tile")
+    rows = members.join(mixed, F.col("shard") == F.col("its_shard"))
+    x, y = (F.pmod(F.xxhash64("node", F.lit(name)), F.col(name)) for name in ("across", "down"))
+    key = lambda y, x: F.concat_ws(".", "shard", y, x).alias("tile")
+    whole = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("down") - 1)))
+    apart = rows.where("root <> main").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
+    whole = whole.select(key("y", x), F.lit(False).alias("apart"), "node", "root")
+    return whole.unionByName(apart.select(key(y, "x"), F.lit(True).alias("apart"), "node", "root"))
+
+
+def _joined_tiles(tiles: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Edges (a, b) between the roots of (tile, apart, node, root) that are alike and meet in a tile."""
     return (
-        every.unionByName(apart)
-        .select(key, "apart", "node", "root")
-        .join(sets, "node")
+        tiles.join(sets, "node")
         .select("tile", "apart", "root", "shingles")
-        .repartition(spread(members.sparkSession), "tile")
+        .repartition(spread(tiles.sparkSession), "tile")
         .sortWithinPartitions("tile")
         .mapInArrow(lambda batches: _links_of_tiles(batches, similarity), "a bigint, b bigint")
     )
