@@ -20,7 +20,8 @@ from tidemark.llm.common import discard, stored
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]*)"""
 
 DAMPING = 0.85
-ROUNDS = 30
+# A bound only: on a cycle 0.85 ** n reaches the tolerance after 73 rounds, or later for a host that many seeds add up to.
+ROUNDS = 200
 TOLERANCE = 1e-6
 # Of a blocked seed's own score, which is 1 - DAMPING at least.
 THRESHOLD = 0.05
@@ -82,7 +83,7 @@ def propagate(
 
     `links` has (src, dst), `seeds` has (host, trust, distrust), 1 for a seed of the kind and 0
     otherwise. Each round's table is written to the shared folder, so a lost executor costs a round
-    at most; it ends after `rounds`, or when no score moves by more than `tolerance`.
+    at most; it ends when no score moves by more than `tolerance`, and fails if that takes over `rounds`.
     """
     spark = links.sparkSession
     start = seeds.select(
@@ -122,9 +123,9 @@ def propagate(
         discard(spark, path)
         state, path = after.select("host", "trust", "distrust"), after_path
         if moved is None or moved <= tolerance:
-            break
-    discard(spark, weighted_path)
-    return state
+            discard(spark, weighted_path)
+            return state
+    raise RuntimeError(f"scores still move after {rounds} rounds")
 
 
 def judge_urls(
