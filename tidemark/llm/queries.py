@@ -17,11 +17,12 @@ from tidemark.llm import (
     secret_scan,
     sentencepieces,
     simhash,
+    token_alignment,
     url_filter,
     warc,
     weighted_sampling,
 )
-from tidemark.llm.common import may_train, prepare, table
+from tidemark.llm.common import may_train, prepare, stored, table
 from tidemark.session import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -270,3 +271,19 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+A_FILE = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizers = token_alignment.read_tokenizers(A_FILE, MODEL_FILE)
+    found = token_alignment.align(table(spark, sf_dir, "documents"), tokenizers)
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.encode("groups", "UTF-8"), 256)).otherwise("")
+    aligned, _ = stored(found.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    counts, _ = stored(token_alignment.pair_counts(aligned), "pairs")
+    bound = token_alignment.most_pairs(tokenizers.a_tokens, tokenizers.b_tokens)
+    return token_alignment.score_links(aligned, counts, bound).select(
+        "doc_id", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", "n_best", "count_sum", "groups_sha256"
+    )
