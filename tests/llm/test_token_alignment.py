@@ -24,11 +24,12 @@ def both():
     return a, sentencepiece.SentencePieceProcessor(model_file=queries.MODEL_FILE)
 
 
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BACK = {chr(b): b for b in SHOWN} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in SHOWN)}
+
+
 def a_bytes(a, i):
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    back = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
-    return bytes(back[c] for c in a.id_to_token(i))
+    return bytes(BACK[c] for c in a.id_to_token(i))
 
 
 def b_bytes(b, i):

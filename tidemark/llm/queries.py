@@ -13,6 +13,7 @@ from tidemark.llm import (
     exact_dedup,
     language_id,
     quality,
+    ranked_search,
     repeats,
     secret_scan,
     sentencepieces,
@@ -287,3 +288,42 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.score_links(aligned, counts, bound).select(
         "doc_id", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", "n_best", "count_sum", "groups_sha256"
     )
+
+
+@query(
+    "op13_ranked_search",
+    r"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+        FROM documents
+    ),
+    b AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark
+    ),
+    c AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d WHERE len(t) > 0),
+    p AS (
+        SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d) AS e
+        WHERE term IN (SELECT term FROM b) GROUP BY ALL
+    ),
+    w AS (
+        SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY term
+    ),
+    s AS (
+        SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+        FROM b JOIN p USING (term) JOIN w USING (term), c GROUP BY item_id, doc_id
+    ),
+    r AS (
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+        FROM s WHERE score > 0
+    )
+    SELECT * FROM r WHERE rank <= 50
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(table(spark, sf_dir, "documents"), ranked_search.index_folder(spark))
+    return ranked_search.search(spark, index, table(spark, sf_dir, "benchmark"), 50)
