@@ -104,18 +104,62 @@ def test_a_change_at_the_end_of_time_counts(spark):
 
 
 def test_a_hot_link_meets_only_what_it_needs(spark):
-    plain = "string(id) AS _link0"
-    spans = spark.range(200).selectExpr(
-        "id AS item", "'hot' AS _link0", "id * 100 AS _first", "id * 100 + 100 AS _last", "false AS _lasting"
-    ).union(spark.range(2000).selectExpr("id + 1000", plain, "0L", "NULL", "true"))
-    news = spark.range(20_000).selectExpr("'hot' AS _link0", "id AS ts", "id AS rhs").union(
-        spark.range(2000).selectExpr(plain, "5L", "id")
+    holding = spark.range(200).selectExpr("id AS item", "'hot' AS _link0", "id * 100 AS _after", "id * 100 + 99 AS _upto").union(
+        spark.range(2000).selectExpr("id + 1000", "string(id) AS _link0", "0L", "1L")
     )
-    met = temporal._meet(spans, news, ["_link0"], None)
-    inside = met.where("ts > _first AND (_lasting OR ts < _last)")
-    assert inside.count() == 200 * 99 + 2000
-    # All pairs would be 4,002,000.
-    assert met.count() <= 200 * (99 + 2 * temporal.NEWS_PER_BLOCK) + 2000
+    news = spark.range(20_000).selectExpr("'hot' AS _link0", "id AS ts", "id + 1 AS _n").union(
+        spark.range(2000).selectExpr("string(id)", "5L", "1L")
+    )
+    met = temporal._meet(holding, news, ["_link0"])
+    assert met.count() == 200 * 99 + 2000
+    # A row meets whole blocks. All pairs would be 4,002,000.
+    joined = temporal._each_block(
+        holding, temporal._block_of(F.col("_after") + 1), temporal._block_of(F.col("_upto"))
+    ).count() * temporal.NEWS_PER_BLOCK
+    assert joined <= 200 * (99 + 2 * temporal.NEWS_PER_BLOCK) + 2000 * temporal.NEWS_PER_BLOCK
+
+
+def test_theta_meets_only_the_time_of_a_value(spark, monkeypatch):
+    """40 values, each held for a fortieth of a hot link's time: not all pairs of value and right row."""
+    met = []
+    each_block = temporal._each_block
+    monkeypatch.setattr(temporal, "_each_block", lambda *a: met.append(each_block(*a)) or met[-1])
+    left = spark.range(40).selectExpr("id AS item", "id * 1000 AS at", "'c' AS link", "id AS least").union(
+        # Given up again at the next value's time.
+        spark.range(40).selectExpr("id", "(id + 1) * 1000", "NULL", "id")
+    )
+    right = spark.range(40_000).selectExpr("'c' AS comp", "id AS at", "id % 50 AS n")
+    got = temporal_join_theta(
+        left, right, "at", "at", "item", [("link", "comp")], lambda l, r: r("n") >= l("least"), ["least"]
+    )
+    rows = got.collect()
+    # The right row at or just before each start, and then each matching row in the 999 after it.
+    assert len(rows) == sum(2 + sum(t % 50 >= i for t in range(i * 1000 + 1, (i + 1) * 1000)) for i in range(40))
+    for_items = [r for r in rows if r.ts == r.item * 1000]
+    assert {r["item"]: r.rhs and r.rhs["at"] for r in for_items} == {
+        i: next((t for t in range(i * 1000, -1, -1) if t % 50 >= i), None) for i in range(40)}
+    theta = met[:-1]  # the last is the join of the histories
+    # All pairs would be 1,600,000.
+    assert sum(m.count() for m in theta) * temporal.NEWS_PER_BLOCK <= 40 * (1000 + 6 * temporal.NEWS_PER_BLOCK)
+
+
+@pytest.mark.parametrize("block,rows_per_task", [(2, None), (1, 3), (3, 2)])
+def test_theta_looks_back_as_far_as_needed(spark, monkeypatch, block, rows_per_task):
+    monkeypatch.setattr(temporal, "NEWS_PER_BLOCK", block)
+    rng = random.Random(13)
+    start = date(2026, 1, 1)
+    lefts = [(f"i{n}", start + timedelta(d), rng.choice("ab"), rng.choice([None, "c", "c"])) for n in range(8) for d in rng.sample(range(60), 4)]
+    rights = [("c", start + timedelta(d), rng.choice(["x", "y"]), int(rng.random() < 0.1)) for d in range(60)]
+    level = {"a": 0, "b": 1}
+    expected = replay(lefts, rights, lambda l, r: l[3] == r[0] and r[3] >= level[l[2]])
+    got = temporal_join_theta(
+        spark.createDataFrame(lefts, "item string, at date, v string, link string"),
+        spark.createDataFrame(rights, "comp string, on_day date, cls string, n int"),
+        "at", "on_day", "item", [("link", "comp")], lambda l, r: r("n") >= F.when(l("v") == "b", 1).otherwise(0), ["v"],
+        rows_per_task=rows_per_task,
+    )
+    rows = ((r[0], r[1], tuple(r.lhs), r.rhs and tuple(r.rhs)) for r in got.collect())
+    assert sorted(rows, key=lambda r: r[:2]) == sorted(expected, key=lambda r: r[:2])
 
 
 def test_theta_equals_replay(spark):

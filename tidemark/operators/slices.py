@@ -222,6 +222,39 @@ def running_count(
     )
 
 
+def running_sum(
+    frame: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    value: Column,
+    name: str,
+    cuts: Cuts | None = AUTO,
+) -> DataFrame:
+    """`sum(value) OVER (PARTITION BY by ORDER BY order ROWS UNBOUNDED PRECEDING)` as column `name`."""
+    by, order = list(by), list(order)
+    if cuts is AUTO:
+        cuts = find_cuts(frame, by, order[0])
+    ordering = [F.asc_nulls_first(c) for c in order]
+    upto = lambda *keys: Window.partitionBy(*keys).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, 0)
+    if cuts is None:
+        return frame.withColumn(name, F.sum(value).over(upto(*by)))
+    marked = with_slice(frame, cuts, by, order[0])
+    earlier = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per slice of a hot key: bounded like the cuts themselves.
+    offsets = (
+        marked.where(F.col(_CUTS).isNotNull())
+        .groupBy(*by, SLICE)
+        .agg(F.sum(value).alias("_in_slice"))
+        .select(*by, SLICE, F.coalesce(F.sum("_in_slice").over(earlier), F.lit(0)).alias("_offset"))
+    )
+    within = marked.withColumn(name, F.sum(value).over(upto(*by, SLICE)))
+    return (
+        _match(within, F.broadcast(offsets), [*by, SLICE], "left")
+        .withColumn(name, F.col(name) + F.coalesce("_offset", F.lit(0)))
+        .drop(_CUTS, SLICE, "_offset")
+    )
+
+
 def _keyed(frame: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """A constant key for a frame without one, so that its one series can be cut like any other."""
     return (frame, list(by)) if by else (frame.withColumn(_ALL, F.lit(0)), [_ALL])

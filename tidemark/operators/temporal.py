@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import all_of, any_of, distinct_from
-from tidemark.operators.asof import asof_join
 from tidemark.operators import slices
-from tidemark.operators.slices import AUTO, Cuts, find_cuts, running_count, sliced
+from tidemark.operators.slices import AUTO, Cuts, find_cuts, running_sum, sliced
 from tidemark.session import written
 
 
@@ -34,17 +33,18 @@ def temporal_join(
     means that some column of either source, timestamps aside, is distinct from what was in effect
     just before, so a return to an earlier state is kept.
 
-    How it is computed. A row of the result starts either at a left row or at a right row:
+    How it is computed. A left row holds from its time to the item's next one. A row of the result
+    starts either at a left row or at a right row:
 
-    * a right row starts one for each item pointing at it then, if and only if it differs from
-      the right row before it. That is a property of the right history alone, so repeats there go
-      before they meet any item.
     * a left row starts one if it differs from the item's previous left row, or if a changed right
       row bears the same time.
+    * a right row starts one for each left row that points at it and holds then, if and only if it
+      differs from the right row before it. That is a property of the right history alone, so
+      repeats there go before they meet any item, and the changed ones (news) are numbered.
 
-    So the left rows look up their right row once (as-of join on the link), the changed right rows
-    meet the distinct (item, link) pairs while those hold, and one window per item puts both in
-    order. No version row is joined with another history's version rows.
+    One window over the links answers all look-ups: at the distinct points at which a left row begins
+    or ends, which right row is in effect and how many news there were. So each left row meets just
+    the news between its two numbers. No version row is joined with another history's version rows.
 
     Args:
         left: The items' history, unique on (key, left_ts).
@@ -72,78 +72,39 @@ def temporal_join(
     ).where(all_of(F.col(c).isNotNull() for c in [*links, "ts"]))
     linked = all_of(F.col(link).isNotNull() for link in links)
 
-    # No key of either history, and no item of the result, can have more rows than both together.
+    # No key of either history can have more rows than both together.
     limit = rows_per_task or slices.ROWS_PER_TASK
-    large = lefts.select("ts").unionAll(rights.select("ts")).count() > limit
     link_cuts = left_cuts = None
-    if large:
+    if lefts.select("ts").unionAll(rights.select("ts")).count() > limit:
         points = lefts.where(linked).select(*links, "ts").unionByName(rights.select(*links, "ts"))
         link_cuts = find_cuts(points, links, "ts", limit)
         left_cuts = find_cuts(lefts, keys, "ts", limit)
 
-    # Right rows that differ from the one before them.
-    s = sliced(rights, links, ["ts"], ["rhs"], link_cuts)
-    before = F.lag("rhs").over(s.window())
-    same = before.isNotNull() & _unchanged(F.col("rhs"), before, right, right_ts)
-    marked = s.done(s.rows.withColumn("_news", ~same))
-    news = marked.where("_news")
-
-    # The right row in effect at each left row, and whether that row changed just then.
-    looked = asof_join(
-        lefts,
-        marked.withColumnRenamed("ts", "_since"),
-        "ts",
-        "_since",
-        links,
-        cuts=link_cuts,
-    ).withColumn("_news", F.coalesce(F.col("_news") & (F.col("_since") == F.col("ts")), F.lit(False)))
-
-    # When a link concerns an item: from its first row with that link to the end of its last.
-    thin = lefts.select(*keys, "ts", *links, F.col("ts").alias("_start"))
-    s = sliced(thin, keys, ["ts"], ["_start"], left_cuts, reverse=True)
-    spans = (
-        s.done(s.rows.withColumn("_end", F.lag("_start").over(s.window())))
-        .where(linked)
-        .groupBy(*keys, *links)
-        .agg(
-            F.min("ts").alias("_first"),
-            F.max("_end").alias("_last"),
-            F.bool_or(F.col("_end").isNull()).alias("_lasting"),
-        )
+    held = _held(lefts, keys, left_cuts)
+    differs = lambda now, was: ~(was.isNotNull() & _unchanged(now, was, right, right_ts))
+    points = _points(held.where(linked), links)
+    answered = _numbered(rights, points, links, "rhs", differs, link_cuts)
+    at_points = answered.where(F.col("_side") == 1)
+    news = answered.where((F.col("_side") == 0) & F.col("_new")).select(
+        *links, "ts", "_n", F.col("_in")["row"].alias("rhs")
     )
-    met = _meet(spans, news, links, link_cuts)
-    ticks = (
-        met.where(F.col("ts") > F.col("_first"))
-        .where(F.col("_lasting") | (F.col("ts") < F.col("_last")))
-        .select(*keys, "ts", *links, "rhs", F.lit(1).alias("_side"))
+
+    now = F.col("_in")["new"] & (F.col("_in")["since"] == F.col("ts"))
+    looked = held.join(
+        at_points.select(*links, "ts", F.col("_in")["row"].alias("rhs"), now.alias("_now"), "_n"),
+        [*links, "ts"],
+        "left",
     )
-    rows = looked.select(
-        *keys, "ts", *links, "lhs", "rhs", "_news", F.lit(0).alias("_side")
-    ).unionByName(ticks, allowMissingColumns=True)
-
-    key_cuts = None
-    if large:
-        # The hot items show only in the result of the joins so far; these run once, not again
-        # for each look at the row counts.
-        rows = written(rows, "ticks")
-        key_cuts = find_cuts(rows, keys, "ts", limit)
-    s = sliced(rows, keys, ["ts", "_side"], ["lhs"], key_cuts)
-    ordered = s.done(s.rows.withColumn("_was", F.last("lhs", ignorenulls=True).over(s.before())))
-
-    own = F.col("_side") == 0
     own_change = (
         F.col("_was").isNull()
-        | F.col("_news")
+        | F.coalesce("_now", F.lit(False))
         | ~_unchanged(F.col("lhs"), F.col("_was"), left, left_ts)
     )
-    # A tick counts while the item points at that right row; at the very time of a left row the
-    # left row has already looked it up.
-    in_effect = all_of(
-        F.col("_was")[a] == F.col(link) for (a, _), link in zip(on, links)
-    ) & (F.col("_was")[left_ts] < F.col("ts"))
-    return ordered.where(F.when(own, own_change).otherwise(in_effect)).select(
-        *keys, "ts", F.when(own, F.col("lhs")).otherwise(F.col("_was")).alias("lhs"), "rhs"
-    )
+    own = looked.where(own_change).select(*keys, "ts", "lhs", "rhs")
+
+    starting = looked.where(linked).select(*keys, *links, "lhs", "_end", F.col("_n").alias("_after"))
+    holding = _until_end(starting, at_points, news, links)
+    return own.unionByName(_meet(holding, news, links).select(*keys, "ts", "lhs", "rhs"))
 
 
 def temporal_join_theta(
@@ -164,6 +125,10 @@ def temporal_join_theta(
     columns, whoever holds them, and the matches are a history to join on those values. At least
     one equality is required: it is what partitions the matching.
 
+    The right rows of a link are numbered and cut into blocks. A value is compared with the blocks of
+    the time in which some item holds it, however many items do, and before that with earlier blocks
+    until one has a match: first with the one before, then with twice as many each round.
+
     Args:
         condition: Called with two functions that give a left and a right column by name, returns
             the condition; `lambda l, r: r("grade") >= l("minimum")`.
@@ -180,18 +145,7 @@ def temporal_join_theta(
     }
     reachable = left.withColumns(texts) if texts else left
 
-    names = {c: f"_left_{c}" for c in [*dict.fromkeys(a for a, _ in on), *own]}
-    values = (
-        reachable.where(linked)
-        .select(*[F.col(c).alias(n) for c, n in names.items()], *texts)
-        .distinct()
-    )
-    matches = [F.col(names[a]) == right[b] for a, b in on]
-    matches.append(condition(lambda c: F.col(names[c]), lambda c: right[c]))
-    # Read several times from here on.
-    matched = written(
-        values.join(right, all_of(matches)).select(*right.columns, *texts), "matched"
-    )
+    matched = _matched(reachable, right, left_ts, right_ts, keys, on, own, texts, condition, rows_per_task)
     joined = temporal_join(
         reachable, matched, left_ts, right_ts, keys, [*on, *[(t, t) for t in texts]], rows_per_task
     )
@@ -242,27 +196,187 @@ def periods(
     return following.withColumn("days", F.datediff(end, F.col(ts))).drop("_start")
 
 
-def _meet(spans: DataFrame, news: DataFrame, links: list[str], cuts: Cuts | None) -> DataFrame:
-    """Each span with the news of its link; a few news outside the span may be among them.
+def _held(lefts: DataFrame, keys: list[str], cuts: Cuts | None) -> DataFrame:
+    """Adds `_was`, the item's row before, and `_end`, the time of its next row."""
+    s = sliced(lefts, keys, ["ts"], ["lhs"], cuts)
+    rows = s.rows.withColumn("_was", F.lag("lhs").over(s.window()))
+    if not s.split:
+        return s.done(rows.withColumn("_end", F.lead("ts").over(s.window())))
+    s = sliced(s.done(rows).withColumn("_start", F.col("ts")), keys, ["ts"], ["_start"], cuts, reverse=True)
+    return s.done(s.rows.withColumn("_end", F.lag("_start").over(s.window()))).drop("_start")
+
+
+def _points(held: DataFrame, links: list[str]) -> DataFrame:
+    """The different (link, time) at which a row begins or ends to hold."""
+    both = held.select(*links, F.explode(F.array("ts", "_end")).alias("ts"))
+    return both.where(F.col("ts").isNotNull()).distinct()
+
+
+def _numbered(
+    rights: DataFrame,
+    points: DataFrame,
+    links: list[str],
+    row: str,
+    is_new: Callable[[Column, Column], Column],
+    cuts: Cuts | None,
+) -> DataFrame:
+    """Right rows (`_side` 0) and points (1) of each link, in order of time.
+
+    `_in` is the right row in effect, with its time `since` and whether it is `new`; `_n` is how many new
+    right rows there were up to then. `_new` marks the new rows themselves. `is_new` compares a row with
+    the one before it.
+    """
+    order = ["ts", "_side"]
+    rows = rights.select(*links, "ts", row, F.lit(0).alias("_side")).unionByName(
+        points.withColumn("_side", F.lit(1)), allowMissingColumns=True
+    )
+    s = sliced(rows, links, order, [row], cuts)
+    was = F.last(row, ignorenulls=True).over(s.before())
+    marked = s.done(s.rows.withColumn("_new", (F.col("_side") == 0) & is_new(F.col(row), was)))
+    own = F.struct(F.col("ts").alias("since"), F.col(row).alias("row"), F.col("_new").alias("new"))
+    marked = marked.withColumn("_in", F.when(F.col("_side") == 0, own)).drop(row)
+    s = sliced(marked, links, order, ["_in"], cuts)
+    answered = s.done(s.rows.withColumn("_in", F.last("_in", ignorenulls=True).over(s.upto())))
+    return running_sum(answered, links, order, F.col("_new").cast("long"), "_n", cuts)
+
+
+def _until_end(starting: DataFrame, at_points: DataFrame, news: DataFrame, links: list[str]) -> DataFrame:
+    """Adds `_upto`, the number of news before `_end`; a row without an end holds to the link's last one."""
+    at_end = F.col("_in")["new"] & (F.col("_in")["since"] == F.col("ts"))
+    ends = at_points.select(
+        *links, "ts", (F.col("_n") - F.coalesce(at_end.cast("long"), F.lit(0))).alias("_upto")
+    ).unionByName(
+        news.groupBy(*links).agg(F.max("_n").alias("_upto")), allowMissingColumns=True
+    )
+    ends = ends.select(*[F.col(c).alias(f"_e{c}") for c in links], F.col("ts").alias("_at"), "_upto")
+    same = [F.col(c) == F.col(f"_e{c}") for c in links]
+    return starting.join(ends, all_of([*same, F.col("_end").eqNullSafe(F.col("_at"))]))
+
+
+def _each_block(frame: DataFrame, first: Column, last: Column) -> DataFrame:
+    """A row for each `_block` from `first` to `last`.
+
+    In one step: Spark 4.1 loses a struct's fields when columns are pruned through two.
+    """
+    return frame.withColumn("_block", F.explode(F.sequence(first, last)))
+
+
+def _block_of(n: Column) -> Column:
+    """The block of number `n`; numbers begin with 1, blocks with 0."""
+    return F.floor((n - 1) / NEWS_PER_BLOCK)
+
+
+def _meet(holding: DataFrame, news: DataFrame, links: list[str]) -> DataFrame:
+    """Each row with the news numbered `_after` < `_n` <= `_upto` of its link.
+
+    The row meets only the blocks of news in between: the work is linear in the rows and in what the
+    result needs, however many of either share a link.
+    """
+    some = holding.where(F.col("_upto") > F.col("_after"))
+    reaching = _each_block(some, _block_of(F.col("_after") + 1), _block_of(F.col("_upto")))
+    dealt = news.withColumn("_block", _block_of(F.col("_n")))
+    met = reaching.join(dealt, [*links, "_block"])
+    return met.where((F.col("_n") > F.col("_after")) & (F.col("_n") <= F.col("_upto")))
+
+
+def _matched(
+    left: DataFrame,
+    right: DataFrame,
+    left_ts: str,
+    right_ts: str,
+    keys: list[str],
+    on: Sequence[tuple[str, str]],
+    own: list[str],
+    texts: dict[str, Column],
+    condition: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
+    rows_per_task: int | None,
+) -> DataFrame:
+    """Right rows with the values (`texts`) that they satisfy the condition for; all that an item can see.
 
-    The news of a link are numbered, both ends of a span look up their number, and the span meets only
-    the blocks of news in between: the work is linear in the spans and in what the result needs, however
-    many spans and news share a link. A span without an end reaches to the link's last number.
+    Rows outside the time in which a value is held are left out, but for the last match before it.
     """
-    numbered = running_count(news, links, ["ts"], "_n", cuts).withColumn(
-        "_block", F.floor((F.col("_n") - 1) / NEWS_PER_BLOCK)
+    limit = rows_per_task or slices.ROWS_PER_TASK
+    links = [f"_link{i}" for i in range(len(on))]
+    names = {c: f"_left_{c}" for c in [*dict.fromkeys(a for a, _ in on), *own]}
+    value = [*links, *texts]
+    lefts = left.select(
+        *keys,
+        F.col(left_ts).alias("ts"),
+        *[F.col(a).alias(link) for (a, _), link in zip(on, links)],
+        *texts,
+        F.struct(*[F.col(c).alias(n) for c, n in names.items()]).alias("lhs"),
+    ).where(all_of(F.col(c).isNotNull() for c in [*keys, "ts"]))
+    linked = all_of(F.col(c).isNotNull() for c in links)
+    rights = right.select(
+        *[F.col(b).alias(link) for (_, b), link in zip(on, links)],
+        F.col(right_ts).alias("ts"),
+        F.struct(*right.columns).alias("rhs"),
+    ).where(all_of(F.col(c).isNotNull() for c in [*links, "ts"]))
+    link_cuts = left_cuts = None
+    if lefts.select("ts").unionAll(rights.select("ts")).count() > limit:
+        points = lefts.where(linked).select(*links, "ts").unionByName(rights.select(*links, "ts"))
+        link_cuts = find_cuts(points, links, "ts", limit)
+        left_cuts = find_cuts(lefts, keys, "ts", limit)
+
+    # Numbers of all right rows, and at the points where a value is taken up or given up.
+    held = _held(lefts, keys, left_cuts).where(linked)
+    numbered = _numbered(rights, _points(held, links), links, "rhs", lambda now, was: F.lit(True), link_cuts)
+    # Read several times from here on.
+    numbered = written(numbered, "numbered")
+    at_points, seen = numbered.where("_side = 1"), numbered.where("_side = 0")
+    blocks = seen.select(*links, _block_of(F.col("_n")).alias("_block"), "_n", F.col("_in")["row"].alias("rhs"))
+    starting = held.select(*value, "lhs", "ts", "_end").join(
+        at_points.select(*links, "ts", F.col("_n").alias("_after")), [*links, "ts"]
+    ).drop("ts")
+    rows = seen.select(*links, "ts", "_n")
+    holding = _until_end(starting, at_points, rows, links)
+    # The blocks that a value is held in, whoever holds it: one more from where a hold begins, one less after it.
+    first, last = _block_of(F.greatest(F.col("_after"), F.lit(1))), _block_of(F.greatest(F.col("_upto"), F.col("_after"), F.lit(1)))
+    edges = F.array(F.struct(first.alias("_block"), F.lit(1).alias("_d")), F.struct((last + 1).alias("_block"), F.lit(-1).alias("_d")))
+    steps = (
+        holding.select(*value, "lhs", F.explode(edges).alias("_edge"))
+        .groupBy(*value, F.col("_edge")["_block"].alias("_block"))
+        .agg(F.sum(F.col("_edge")["_d"]).alias("_d"), F.any_value("lhs").alias("lhs"))
+        .where("_d <> 0")
     )
-    marks = numbered.select(*links, F.col("ts").alias("at"), F.col("_n").alias("n"))
-    totals = numbered.groupBy(*links).agg(F.max("_n").alias("_total"))
-    ends = asof_join(spans, marks, "_first", "at", links, prefix="_from_", cuts=cuts)
-    # A lasting span has no end of its own to look up.
-    ends = ends.withColumn("_until", F.when(F.col("_lasting"), F.col("_first")).otherwise(F.col("_last")))
-    ends = asof_join(ends, marks, "_until", "at", links, prefix="_to_", cuts=cuts).join(totals, links)
-    before = F.coalesce("_from_n", F.lit(0))
-    upto = F.when(F.col("_lasting"), F.col("_total")).otherwise(F.coalesce("_to_n", F.lit(0)))
-    blocks = F.sequence(F.floor(before / NEWS_PER_BLOCK), F.floor((upto - 1) / NEWS_PER_BLOCK))
-    reaching = ends.where(upto > before).withColumn("_block", F.explode(blocks))
-    return reaching.join(numbered, [*links, "_block"])
+    cuts = find_cuts(steps, value, "_block", limit) if link_cuts else None
+    cover = running_sum(steps, value, ["_block"], F.col("_d"), "_open", cuts)
+    s = sliced(cover.withColumn("_here", F.struct("_block", "_open")), value, ["_block"], ["_here"], cuts)
+    before = F.lag("_here").over(s.window())
+    # Each run of blocks ends where the next step is; the run before this step was covered if some hold was open.
+    runs = s.done(s.rows.withColumn("_run", before)).where(F.col("_run").isNotNull())
+    run_from, run_to = F.col("_run")["_block"], F.col("_block") - 1
+    runs = written(
+        runs.select(*value, "lhs", run_from.alias("_from"), run_to.alias("_to"), (F.col("_run")["_open"] > 0).alias("_covered"))
+        .unionByName(
+            cover.groupBy(*value).agg(F.any_value("lhs").alias("lhs"), F.min("_block").alias("_to")).select(
+                *value, "lhs", F.lit(0).cast("long").alias("_from"), (F.col("_to") - 1).alias("_to"), F.lit(False).alias("_covered")
+            )
+        )
+        .where("_from <= _to"),
+        "runs",
+    )
+    holds = condition(lambda c: F.col("lhs")[names[c]], lambda c: F.col("rhs")[c])
+    meet = lambda some, low, high: _each_block(some, low, high).join(blocks, [*links, "_block"]).where(holds)
+    shown = [*[F.col("rhs")[c].alias(c) for c in right.columns], *texts]
+    matched = meet(runs.where("_covered"), F.col("_from"), F.col("_to")).select(*shown)
+    # Before a run that is covered lies one that isn't, or another that is: its last match is what holds when the run begins.
+    gaps = runs.where("NOT _covered").select(*value, "lhs", "_from", "_to", F.col("_to").alias("_upto"))
+    width = 1
+    while not gaps.isEmpty():
+        low = F.greatest(F.col("_from"), F.col("_upto") - (width - 1))
+        last_match = (
+            meet(gaps, low, F.col("_upto"))
+            .groupBy(*value, "_to")
+            .agg(F.max_by("rhs", "_n").alias("rhs"))
+        )
+        last_match = written(last_match, "last")
+        matched = matched.unionByName(last_match.select(*shown))
+        gaps = written(
+            gaps.where(low > F.col("_from")).withColumn("_upto", low - 1).join(last_match, [*value, "_to"], "left_anti"), "gaps"
+        )
+        width *= 2
+    return written(matched, "matched")
 
 
 def _check(left, right, left_ts, right_ts, keys, on) -> None:
