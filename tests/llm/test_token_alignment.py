@@ -96,6 +96,18 @@ def test_odd_rows(spark, both, monkeypatch):
     assert token_alignment.score_links(none, token_alignment.pair_counts(none), bound).collect() == []
 
 
+def test_ids_are_those_of_the_library_of_the_file(both):
+    """The encoder in use is another library's; each code point there is, between letters, digits and blanks."""
+    tokenizers = token_alignment.read_tokenizers(queries.A_FILE, queries.MODEL_FILE)
+    aligner = token_alignment.Aligner(tokenizers)
+    some = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}b 1{c}2 {c}{c}\n" for c in some[i : i + 40]) for i in range(0, len(some), 40)]
+    for i in range(0, len(texts), 1000):
+        part = texts[i : i + 1000]
+        library = both[0].encode_batch([" " + t for t in part], add_special_tokens=False)
+        assert [aligner.a.encode_ordinary(" " + t) for t in part] == [e.ids for e in library]
+
+
 def test_a_window_met_again_is_cut_alike(both):
     tokenizers = token_alignment.read_tokenizers(queries.A_FILE, queries.MODEL_FILE)
     aligner = token_alignment.Aligner(tokenizers)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import READING_NAME
 from tidemark.operators import slices
+from tidemark.operators import validity as validity_operators
 from tidemark.operators.slices import find_cuts
 from tidemark.operators.uploads import (
     accepted, check_has_files, check_not_empty, complete_sets, part_counts, safe_names,
@@ -81,13 +82,25 @@ def test_clipping_equals_replay(spark, rows_per_task):
     assert clipped(frame, cuts=cuts or None) == replay(rows)
 
 
-def test_clipping_across_small_arrow_batches(spark):
-    rows = random_uploads(300, [f"z{i}" for i in range(40)] + ["big"] * 20, 6)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        assert clipped(uploads(spark, rows)) == replay(rows)
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+@pytest.mark.parametrize("branch", [2, 3, 64])
+@pytest.mark.parametrize("falling", [False, True])
+def test_clipping_with_blocks_of_any_size(spark, monkeypatch, branch, falling):
+    """Small blocks make many levels; falling starts leave all uploads of a zone waiting to its end."""
+    monkeypatch.setattr(validity_operators, "BRANCH", branch)
+    rows = random_uploads(300, [f"z{i}" for i in range(10)] + ["big"] * 20, 6)
+    if falling:
+        rows = [(i, z, s and T0 - i * DAY, None) for i, z, s, _ in rows] + [(900, "big", T0 - 150 * DAY, None), (901, "big", T0 + DAY, None)]
+    frame = clip_replaced(uploads(spark, rows), "zone", "id", "valid_from", "valid_until")
+    assert {r.id: (r.valid_from, r.valid_until) for r in frame.collect()} == replay(rows)
+    plan = frame._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "Arrow" not in plan and "Python" not in plan
+
+
+def test_clipping_keeps_other_columns_and_odd_rows(spark):
+    frame = uploads(spark, [(1, None, T0, None), (2, "z", None, None), (3, "z", T0, None)]).withColumn("note", F.lit("n"))
+    out = clip_replaced(frame, "zone", "id", "valid_from", "valid_until")
+    assert out.columns == frame.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, frame.collect()))
+    assert clip_replaced(frame.limit(0), "zone", "id", "valid_from", "valid_until").collect() == []
 
 
 def test_incremental_equals_replay(spark):

@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from datetime import datetime
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions import covers, iso_timestamp
-from tidemark.operators.asof import asof_join
-from tidemark.operators.slices import AUTO, SLICE, Cuts, find_cuts, with_slice
-from tidemark.session import runs_on_executors, written
+from tidemark.operators.slices import AUTO, Cuts, find_cuts, running_sum
+from tidemark.session import written
 
-runs_on_executors(__name__)
-
-ROWS_PER_SLICE = 1_000_000
-"""A zone's uploads are held in memory while it is read; larger zones are cut."""
+BRANCH = 64
+"""Uploads in a block, and blocks in a block of blocks, when a replacement is looked for."""
 
 # The validity modes of an upload.
 ALWAYS, UNTIL_REPLACED, PERIOD = "always", "until_replaced", "period"
@@ -79,23 +72,26 @@ def clip_replaced(
     the start of the first later upload that starts strictly after it, which need not be the next
     one. Uploads without a start neither close others nor get closed.
 
-    A zone is read once in order with a stack of the uploads still open. A hot zone is cut into
-    slices of `seq`; what a slice leaves open looks up the first later slice that can close it.
+    The uploads of a zone are numbered and put in blocks of `BRANCH`; blocks of blocks keep the latest
+    start of each part, up to one block per zone. An upload looks for its closer in its own block
+    first. What is left goes up, level by level, until a later part has a start above its own, and
+    down again to the first upload there. A level is a join with at most `BRANCH` maxima per row, so
+    the work grows with the rows and the logarithm of the largest zone, whatever the order of starts.
+
+    `cuts` are the cut points for hot zones. Uploads of one zone and `seq` come in any order.
     """
     takes_part = F.col(v_from).isNotNull() & F.col(zone).isNotNull()
     started = uploads.where(takes_part)
     if cuts is AUTO:
-        cuts = find_cuts(started, [zone], seq, ROWS_PER_SLICE)
-    if cuts is None:
-        part = started.withColumn(SLICE, F.lit(0))
-    else:
-        part = with_slice(started, cuts, [zone], seq)
-    columns = uploads.columns
-    closed = _close_in_order(part.select(*columns, SLICE), zone, seq, v_from, v_until)
-    if cuts is not None:
-        # Read several times from here on.
-        closed = _close_across_slices(written(closed, "closed"), zone, v_from, v_until)
-    return closed.select(*columns).unionByName(uploads.where(~takes_part))
+        cuts = find_cuts(started, [zone], seq)
+    places = running_sum(started, [zone], [seq], F.lit(1).cast("long"), "_p", cuts)
+    # Read several times from here on; the numbers stay as they are.
+    numbered = written(places.withColumn("_p", F.col("_p") - 1), "numbered")
+    later = _first_later_above(
+        numbered.select(F.col(zone).alias("_zone"), "_p", F.col(v_from).alias("_s"), F.col(v_until).isNull().alias("_open"))
+    ).withColumnsRenamed({"_zone": zone})
+    closed = numbered.join(later, [zone, "_p"], "left").withColumn(v_until, F.coalesce(v_until, "_above"))
+    return closed.select(*uploads.columns).unionByName(uploads.where(~takes_part))
 
 
 def clip_incremental(
@@ -160,119 +156,62 @@ def stored_files(
     return files.join(sets, "upload_id").orderBy(F.desc("uploaded_at"), "upload_id", "file")
 
 
-def _close_in_order(part: DataFrame, zone: str, seq: str, v_from: str, v_until: str) -> DataFrame:
-    """Close uploads within each (zone, slice); `_record` marks starts above all before them."""
-    timed = part.withColumn("_start", F.unix_micros(v_from))
-    schema = T.StructType(
-        [
-            *timed.schema.fields,
-            T.StructField("_closer", T.LongType()),
-            T.StructField("_record", T.BooleanType()),
-        ]
-    )
-    ordered = timed.repartition(zone, SLICE).sortWithinPartitions(zone, SLICE, seq)
-    closed = ordered.mapInArrow(_closers([zone, SLICE], v_until), schema)
-    end = F.coalesce(v_until, F.timestamp_micros("_closer"))
-    return closed.withColumn(v_until, end).drop("_start", "_closer")
-
-
-def _closers(group: list[str], v_until: str):
-    """Batches of whole groups in, the same rows with `_closer` and `_record` out."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # The last group of a batch may go on in the next one, so it waits.
-            edges = _edges(batch, group)
-            if held and not _continues(held[-1], batch, group):
-                yield from _close_groups(held, group, v_until)
-                held = []
-            if len(edges):
-                last = int(edges[-1])
-                yield from _close_groups([*held, batch.slice(0, last)], group, v_until)
-                held = [batch.slice(last)]
-            else:
-                held.append(batch)
-        if held:
-            yield from _close_groups(held, group, v_until)
-
-    return scan
-
-
-def _edges(rows: pa.RecordBatch | pa.Table, group: list[str]) -> np.ndarray:
-    """Row numbers, but for 0, at which a new group begins."""
-    new = np.zeros(max(rows.num_rows - 1, 0), dtype=bool)
-    for c in group:
-        values = rows.column(c)
-        new |= pc.not_equal(values.slice(1), values.slice(0, rows.num_rows - 1)).to_numpy(
-            zero_copy_only=False
-        )
-    return 1 + np.flatnonzero(new)
-
-
-def _continues(before: pa.RecordBatch, after: pa.RecordBatch, group: list[str]) -> bool:
-    return all(before.column(c)[before.num_rows - 1] == after.column(c)[0] for c in group)
-
-
-def _close_groups(
-    batches: list[pa.RecordBatch], group: list[str], v_until: str
-) -> Iterator[pa.RecordBatch]:
-    rows = pa.Table.from_batches(batches).combine_chunks().to_batches(2**31 - 1)[0]
-    begins = np.zeros(rows.num_rows, dtype=bool)
-    begins[_edges(rows, group)] = True
-    begins[0] = True
-    starts = rows.column("_start").to_pylist()
-    is_open = pc.is_null(rows.column(v_until)).to_pylist()
-    closer: list[int | None] = [None] * rows.num_rows
-    record = [False] * rows.num_rows
-    stack: list[int] = []
-    highest = 0
-    for i, (start, begin) in enumerate(zip(starts, begins.tolist())):
-        if begin:
-            stack.clear()
-        if begin or start > highest:
-            highest, record[i] = start, True
-        while stack and starts[stack[-1]] < start:
-            closer[stack.pop()] = start
-        if is_open[i]:
-            stack.append(i)
-    yield pa.RecordBatch.from_arrays(
-        [*rows.columns, pa.array(closer, pa.int64()), pa.array(record, pa.bool_())],
-        names=[*rows.schema.names, "_closer", "_record"],
-    )
-
+def _first_later_above(rows: DataFrame) -> DataFrame:
+    """(_zone, _p, _above): for the open rows of (_zone, _p, _s, _open) the first `_s` above theirs at a later `_p`.
 
-def _close_across_slices(closed: DataFrame, zone: str, v_from: str, v_until: str) -> DataFrame:
-    """Close what the slices of hot zones left open, from the slices after them."""
-    # One entry per slice of a hot zone, bounded by the number of cuts.
-    highest = closed.groupBy(zone, SLICE).agg(F.max(v_from).alias("_top"))
-    ladder = highest.groupBy(zone).agg(
-        F.sort_array(F.collect_list(F.struct(SLICE, "_top"))).alias("_ladder")
-    ).where(F.size("_ladder") > 1)
-    waiting = F.col(v_until).isNull()
-    aimed = closed.where(waiting).join(F.broadcast(ladder), zone, "left").withColumn(
-        "_target",
-        F.try_element_at(
-            F.filter(
-                "_ladder",
-                lambda s: (s[SLICE] > F.col(SLICE)) & (s["_top"] > F.col(v_from)),
-            ),
-            F.lit(1),
-        )[SLICE],
-    ).drop("_ladder")
-    # Within a slice, the first start above a given one is always a record.
-    records = closed.where("_record").select(
-        zone, F.col(SLICE).alias("_target"), F.col(v_from).alias("_closer")
+    `_p` numbers the rows of a zone from 0; rows without a later one above are left out.
+    """
+    parent = lambda node: F.floor(node / BRANCH)
+    leaves = rows.groupBy("_zone", parent(F.col("_p")).alias("_node")).agg(
+        F.sort_array(F.collect_list(F.struct("_p", "_s", "_open"))).alias("_parts"), F.max("_s").alias("_top")
     )
-    found = asof_join(
-        aimed,
-        records.withColumn("_at", F.col("_closer")),
-        v_from,
-        "_at",
-        [zone, "_target"],
-        strict=True,
-        forward=True,
-    ).withColumn(v_until, F.col("_closer"))
-    return closed.where(~waiting).unionByName(found.select(*closed.columns))
+    # Rows in the largest zone; each level divides them by `BRANCH`.
+    largest = 1 + (rows.agg(F.max("_p")).first()[0] or 0)
+    levels = 0
+    while largest > BRANCH:
+        largest, levels = -(-largest // BRANCH), levels + 1
+    if levels:
+        leaves = written(leaves, "leaves")
+
+    def first_above(parts: Column, s: Column) -> Column:
+        return F.try_element_at(F.filter(parts, lambda x: x["_s"] > s), F.lit(1))
+
+    def own_block(x: Column, i: Column) -> Column:
+        rest = F.slice(F.col("_parts"), i + 2, F.lit(BRANCH))
+        above = F.when(x["_open"], first_above(rest, x["_s"])["_s"])
+        return F.struct(x["_p"].alias("_p"), x["_s"].alias("_s"), x["_open"].alias("_open"), above.alias("_above"))
+
+    looked = leaves.select("_zone", "_node", F.explode(F.transform("_parts", own_block)).alias("x"))
+    looked = looked.select("_zone", "_node", "x.*").where("_open")
+    found = looked.where("_above IS NOT NULL").select("_zone", "_p", "_above")
+    if not levels:
+        return found
+
+    tree, below = [], leaves.select("_zone", "_node", "_top")
+    for _ in range(levels):
+        below = written(
+            below.groupBy("_zone", parent(F.col("_node")).alias("_node")).agg(
+                F.sort_array(F.collect_list(F.struct(F.col("_node").alias("_p"), F.col("_top").alias("_s")))).alias("_parts"),
+                F.max("_top").alias("_top"),
+            ),
+            "level",
+        )
+        tree.append(below.select("_zone", F.col("_node").alias("_up"), "_parts"))
+        below = below.select("_zone", "_node", "_top")
+
+    waiting = looked.where("_above IS NULL").select("_zone", "_p", "_s", "_node")
+    higher = []
+    for level in tree:
+        met = waiting.withColumn("_up", parent(F.col("_node"))).join(level, ["_zone", "_up"])
+        after = F.filter("_parts", lambda x: x["_p"] > F.col("_node"))
+        met = written(met.withColumn("_down", first_above(after, F.col("_s"))["_p"]).drop("_parts"), "ascent")
+        higher.append(met.where("_down IS NOT NULL").select("_zone", "_p", "_s", F.col("_down").alias("_up")))
+        waiting = met.where("_down IS NULL").select("_zone", "_p", "_s", F.col("_up").alias("_node"))
+    falling = higher.pop()
+    for level in reversed(tree[:-1]):
+        lower = falling.join(level, ["_zone", "_up"])
+        lower = lower.select("_zone", "_p", "_s", first_above(F.col("_parts"), F.col("_s"))["_p"].alias("_up"))
+        falling = lower.unionByName(higher.pop())
+    parts = leaves.select("_zone", F.col("_node").alias("_up"), "_parts")
+    last = falling.join(parts, ["_zone", "_up"])
+    return found.unionByName(last.select("_zone", "_p", first_above(F.col("_parts"), F.col("_s"))["_s"].alias("_above")))
