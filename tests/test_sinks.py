@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.registry import Registry
 from tidemark.operators.sync import apply_changes, reconcile
+from tidemark.sinks import versions
 from tidemark.sinks.tables import (
-    append_snapshot, convert, registered, store_set, upsert_partitions,
+    append_snapshot, compact_registry, convert, refresh, registered, registry, rows_of_sets, store_set, upsert_partitions,
 )
-from tidemark.sources.files import read_bodies, read_json, read_sets
+from tidemark.sources.files import read_bodies, read_json
 from tidemark.operators.uploads import set_digest
 
 
@@ -26,8 +27,7 @@ def test_csv_conversion_names_by_stem(spark, tmp_path):
         (tmp_path / name).write_text("a,b\n1,2\n")
     out = convert(spark, [str(tmp_path / "numbers.csv"), str(tmp_path / "more.v2.csv")], "csv", "a int, b int", str(tmp_path / "out"))
     assert sorted(r.stem for r in out.collect()) == ["more.v2", "numbers"]
-    files = spark.createDataFrame([(str(tmp_path / "out/stem=numbers"),)], "file string")
-    assert [(r.a, r.b) for r in read_sets(spark, files, "file").collect()] == [(1, 2)]
+    assert [(r.a, r.b) for r in out.where("stem = 'numbers'").collect()] == [(1, 2)]
 
 
 def test_bodies_and_digest(spark, tmp_path):
@@ -52,14 +52,86 @@ def test_upsert_touches_only_its_partitions(spark, tmp_path):
 
 
 def test_unregistered_sets_are_invisible(spark, tmp_path):
-    data, registry = str(tmp_path / "d"), str(tmp_path / "r")
-    rows = spark.createDataFrame([("a", 1), ("b", 2)], "set_id string, v int")
-    store_set(rows.where("set_id = 'a'").select("set_id"), rows.where("set_id = 'a'"), "set_id", data, registry)
-    rows.where("set_id = 'b'").write.mode("append").partitionBy("set_id").parquet(data)
-    assert [r.v for r in registered(spark, "set_id", data, registry).collect()] == [1]
-    # Storing the set again replaces its rows.
-    store_set(rows.where("set_id = 'b'").select("set_id"), rows.where("set_id = 'b'"), "set_id", data, registry)
-    assert sorted(r.v for r in registered(spark, "set_id", data, registry).collect()) == [1, 2]
+    data, known = str(tmp_path / "d"), str(tmp_path / "r")
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "set_id string, v int")
+    store_set(rows.where("set_id = 'a'").select("set_id"), rows.where("set_id = 'a'"), "set_id", data, known)
+    # A job that died before it registered its set.
+    versions.write_rows(rows.where("set_id = 'b'").withColumn("bucket", F.lit(1)), data, ["bucket"])
+    assert [r.v for r in registered(spark, "set_id", data, known).collect()] == [1]
+    store_set(rows.select("set_id"), rows, "set_id", data, known)
+    assert sorted(r.v for r in registered(spark, "set_id", data, known).collect()) == [1, 2]
+    # Storing a set again replaces its rows.
+    again = spark.createDataFrame([("a", 7), ("a", 8)], "set_id string, v int")
+    store_set(again.select("set_id").distinct(), again, "set_id", data, known)
+    for _ in range(2):
+        assert sorted(r.v for r in registered(spark, "set_id", data, known).collect()) == [2, 7, 8]
+        compact_registry(spark, "set_id", known)
+
+
+def test_only_buckets_of_chosen_sets_are_read(spark, tmp_path):
+    data, known = str(tmp_path / "d"), str(tmp_path / "r")
+    rows = spark.range(1000).selectExpr("concat('s', id % 200) AS set_id", "id AS v")
+    store_set(rows.select("set_id").distinct(), rows, "set_id", data, known, buckets=8)
+    # A folder per bucket, not per set.
+    (folder,) = (tmp_path / "d/data").iterdir()
+    assert sum(f.is_dir() for f in folder.iterdir()) == 8
+    chosen = registry(spark, "set_id", known).where("set_id IN ('s1', 's2')")
+    got = rows_of_sets(spark, chosen, "set_id", data)
+    assert sorted(r.v for r in got.collect()) == sorted([*range(1, 1000, 200), *range(2, 1000, 200)])
+    # The scan is given the buckets, at most two of eight.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    filters = [line.split("PartitionFilters")[1].split("]")[0] for line in plan.splitlines() if "PartitionFilters" in line]
+    assert any("bucket#" in f for f in filters)
+    with pytest.raises(ValueError, match="no set"):
+        rows_of_sets(spark, chosen.limit(0), "set_id", data)
+
+
+def test_a_table_changes_all_at_once(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    with pytest.raises(ValueError, match="no version"):
+        versions.read_version(spark, path)
+    first = refresh(spark.range(3).withColumn("p", F.col("id") % 2), path, ["p"])
+    assert sorted(map(tuple, first.collect())) == [(0, 0), (1, 1), (2, 0)]
+
+    # The job dies after it has written its rows and before the switch.
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(versions, "_renamed", dies)
+        with pytest.raises(RuntimeError, match="lost"):
+            refresh(spark.range(100), path)
+    assert sorted(r.id for r in versions.read_version(spark, path).collect()) == [0, 1, 2]
+
+    refresh(spark.range(10, 12), path)
+    # Who read the first version goes on reading it.
+    assert first.count() == 3 and versions.read_version(spark, path, 1).count() == 3
+    versions.add_version(spark, path, versions.write_rows(spark.range(12, 14), path), replaces=False)
+    assert sorted(r.id for r in versions.read_version(spark, path).collect()) == [10, 11, 12, 13]
+    versions.forget(spark, path)
+    assert [e.version for e in versions.history(spark, path)] == [2, 3]
+    assert sorted(r.id for r in versions.read_version(spark, path).collect()) == [10, 11, 12, 13]
+    with pytest.raises(ValueError, match="no version 1"):
+        versions.read_version(spark, path, 1)
+
+
+def test_two_writers_take_different_versions(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    refresh(spark.range(1), path)
+    mine = versions.write_rows(spark.range(5), path)
+    newest = versions._newest
+
+    # Another writer takes the next number after this one has looked.
+    def beaten(*where):
+        seen = newest(*where)
+        monkeypatch.setattr(versions, "_newest", newest)
+        versions.add_version(spark, path, versions.write_rows(spark.range(7), path))
+        return seen
+
+    monkeypatch.setattr(versions, "_newest", beaten)
+    assert versions.add_version(spark, path, mine) == 3
+    assert [e.version for e in versions.history(spark, path)] == [1, 2, 3]
+    assert versions.read_version(spark, path).count() == 5 and versions.read_version(spark, path, 2).count() == 7
 
 
 def test_snapshots_append(spark, tmp_path):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import any_of, distinct_from
 from tidemark.operators.slices import AUTO, Cuts, sliced
+from tidemark.sinks import versions
 
 
 class AuditFailed(Exception):
@@ -54,21 +55,18 @@ def audit_every_row_is_a_change(
 Audit = Callable[[DataFrame], DataFrame]
 
 
-def publish(
-    frame: DataFrame, audits: Mapping[str, Audit], path: str, staging: str, partition_by: Sequence[str] = ()
-) -> DataFrame:
-    """Write `frame` to `staging`, audit what was written, and only then publish it to `path`.
+def publish(frame: DataFrame, audits: Mapping[str, Audit], path: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write `frame` beside the versioned table at `path`, audit what was written, and only then make it the table.
 
-    The candidate is computed once: the audits and the final write read the staged files. Raises
-    AuditFailed with a few of the offending rows, leaving `path` as it was.
+    The candidate is computed and written once: the audits read the files that then count, and a reader sees either the table
+    before or the whole new one. Raises AuditFailed with a few of the offending rows, leaving the table as it was.
     """
     spark = frame.sparkSession
-    frame.write.mode("overwrite").parquet(staging)
-    candidate = spark.read.schema(frame.schema).parquet(staging)
+    commit = versions.write_rows(frame, path, partition_by)
+    candidate = versions.read_commits(spark, path, [commit]).select(*frame.columns)
     for name, audit in audits.items():
         offending = audit(candidate).limit(5).collect()
         if offending:
+            versions.discard_rows(spark, path, commit)
             raise AuditFailed(f"{name}: {[r.asDict() for r in offending]}")
-    writer = candidate.write.mode("overwrite").option("partitionOverwriteMode", "static")
-    writer.partitionBy(*partition_by).parquet(path)
-    return spark.read.parquet(path)
+    return versions.read_version(spark, path, versions.add_version(spark, path, commit)).select(*frame.columns)

@@ -10,17 +10,20 @@ from tidemark.operators.validity import valid_at
 from tidemark.plans.synthetic.registry import query
 from tidemark.plans.synthetic.tenants import ALL_SQL, all_issues
 from tidemark.session import load, work_path
+from tidemark.sinks import versions
 from tidemark.sinks.tables import (
     append_snapshot,
     convert,
     fan_out,
     refresh,
     registered,
+    registry,
+    rows_of_sets,
     store_set,
     upsert_partitions,
     view,
 )
-from tidemark.sources.files import read_csv, read_csv_text, read_json, read_lines, read_sets
+from tidemark.sources.files import read_csv, read_csv_text, read_json, read_lines
 
 CUSTOMER = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
 CUSTOMER_SQL = "SELECT * FROM customer"
@@ -93,16 +96,16 @@ def json_objects(spark, sf):
     "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'",
 )
 def valid_files(spark, sf):
-    path = work_path(spark, "sets")
-    orders = load(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
-    fan_out(orders.withColumn("set_id", F.col("o_orderstatus")), "set_id", path)
-    sets = orders.groupBy("o_orderstatus").agg(F.min("o_orderdate").alias("valid_from")).select(
-        F.concat(F.lit(f"{path}/set_id="), F.col("o_orderstatus")).alias("file"),
-        "valid_from",
-        F.when(F.col("o_orderstatus") == "P", F.col("valid_from")).alias("valid_until"),
+    data, known = work_path(spark, "data"), work_path(spark, "registry")
+    orders = load(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("set_id"), "o_orderdate")
+    sets = orders.groupBy("set_id").agg(F.min("o_orderdate").alias("valid_from")).withColumn(
+        "valid_until", F.when(F.col("set_id") == "P", F.col("valid_from"))
     )
-    valid = valid_at(sets, "valid_from", "valid_until", F.lit("2001-01-01").cast("timestamp"))
-    return read_sets(spark, valid, "file").select("o_orderkey", "o_orderstatus")
+    store_set(sets, orders.select("o_orderkey", "set_id"), "set_id", data, known)
+    valid = valid_at(
+        registry(spark, "set_id", known), "valid_from", "valid_until", F.lit("2001-01-01").cast("timestamp")
+    )
+    return rows_of_sets(spark, valid, "set_id", data).select("o_orderkey", F.col("set_id").alias("o_orderstatus"))
 
 
 @query("s6_raw_lines", "SELECT props || chr(92) || event_type AS value FROM events")
@@ -201,8 +204,8 @@ def stored_sets(spark, sf):
     rows = load(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("set_id"))
     sets = rows.select("set_id").distinct()
     store_set(sets.where("set_id <> 'P'"), rows.where("set_id <> 'P'"), "set_id", data, registry)
-    # A job that wrote its files and died before it registered the set.
-    rows.where("set_id = 'P'").write.mode("append").partitionBy("set_id").parquet(data)
+    # A job that wrote its rows and died before it registered the set.
+    versions.write_rows(rows.where("set_id = 'P'").withColumn("bucket", F.lit(0)), data, ["bucket"])
     return registered(spark, "set_id", data, registry).select(
         "o_orderkey", F.col("set_id").alias("o_orderstatus")
     )
@@ -247,5 +250,4 @@ def published(spark, sf):
             "not null": lambda f: audit_not_null(f, ["tenant_id", "issue_id"]),
         },
         work_path(spark, "issues"),
-        work_path(spark, "staging"),
     )

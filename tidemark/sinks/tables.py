@@ -1,4 +1,4 @@
-"""Writing tables: full refresh, append, upsert by partition, staged sets, conversion."""
+"""Writing tables: full refresh, append, upsert by partition, sets in buckets, conversion."""
 
 from __future__ import annotations
 
@@ -10,14 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import any_of
 from tidemark.operators.sync import upsert
+from tidemark.sinks import versions
+
+# Buckets of the rows that one call of `store_set` writes.
+BUCKETS = 64
 
 
 def refresh(frame: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Replace the table at `path`."""
-    writer = frame.write.mode("overwrite").option("partitionOverwriteMode", "static")
-    writer.partitionBy(*partition_by).parquet(path)
-    return frame.sparkSession.read.parquet(path)
+    """Replace the versioned table at `path`; readers of the old rows keep them (`sinks/versions.py`)."""
+    return versions.replace(frame, path, partition_by)
 
 
 def view(frame: DataFrame, name: str) -> DataFrame:
@@ -111,19 +114,63 @@ def convert(
 
 
 def store_set(
-    sets: DataFrame, rows: DataFrame, set_key: str, data_path: str, registry_path: str
+    sets: DataFrame, rows: DataFrame, set_key: str, data_path: str, registry_path: str, buckets: int = BUCKETS
 ) -> None:
     """Write the rows of some sets, then register the sets.
 
-    Readers start from the registry, so a job that dies in between has stored nothing that anybody
-    sees, and running it again writes the same partitions again.
+    The rows of a call go to one folder, in buckets by a hash of the set, however many sets there are. Readers start from
+    the registry, a versioned table that says which folder and bucket a set is in, so a job that dies in between has stored
+    nothing that anybody sees. A set that is stored again is read from its newest folder. A NULL key is no set.
+    """
+    bucket = F.pmod(F.xxhash64(F.col(set_key)), F.lit(buckets)).cast("int").alias("bucket")
+    kept = rows.where(F.col(set_key).isNotNull())
+    commit = versions.write_rows(kept.select(*rows.columns, bucket), data_path, ["bucket"])
+    entries = sets.where(F.col(set_key).isNotNull()).select(*sets.columns, bucket, F.lit(commit).alias("stored_in"))
+    spark = sets.sparkSession
+    versions.add_version(spark, registry_path, versions.write_rows(entries, registry_path), replaces=False)
+
+
+def registry(spark: SparkSession, set_key: str, registry_path: str) -> DataFrame:
+    """The newest entry of each registered set, with its `bucket` and the folder it is `stored_in`."""
+    known = versions.commits(spark, registry_path)
+    entries = versions.read_commits(spark, registry_path, [e.commit for e in known])
+    # One row per call of `store_set` since the registry was last compacted.
+    order = spark.createDataFrame([(e.commit, e.version) for e in known], f"{versions.COMMIT} string, _version long")
+    columns = [c for c in entries.columns if c != versions.COMMIT]
+    newest = entries.join(F.broadcast(order), versions.COMMIT).groupBy(set_key).agg(
+        F.max_by(F.struct(*columns), "_version").alias("_entry")
+    )
+    return newest.select("_entry.*")
+
+
+def compact_registry(spark: SparkSession, set_key: str, registry_path: str) -> None:
+    """One folder in place of one per call of `store_set`, without entries that newer ones replace.
+
+    For times without writers: what is registered while this runs would be lost.
+    """
+    versions.replace(registry(spark, set_key, registry_path), registry_path)
+
+
+def rows_of_sets(spark: SparkSession, chosen: DataFrame, set_key: str, data_path: str) -> DataFrame:
+    """The stored rows of some sets of `registry`, with their set.
+
+    Only the folders and buckets that hold one of them are read. Those pairs pass through the driver, as many as calls of
+    `store_set` times buckets at most; the sets themselves meet their rows in a join.
     """
-    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(set_key).parquet(data_path)
-    sets.write.mode("append").parquet(registry_path)
+    wanted = chosen.select(set_key, "stored_in", "bucket").distinct()
+    parts: dict[str, list[int]] = {}
+    for r in wanted.select("stored_in", "bucket").distinct().collect():
+        parts.setdefault(r.stored_in, []).append(r.bucket)
+    if not parts:
+        raise ValueError("no set to read")
+    stored = versions.read_commits(spark, data_path, sorted(parts))
+    held = any_of(
+        (F.col(versions.COMMIT) == commit) & F.col("bucket").isin(sorted(buckets)) for commit, buckets in sorted(parts.items())
+    )
+    rows = stored.where(held).withColumnRenamed(versions.COMMIT, "stored_in")
+    return rows.join(wanted, [set_key, "stored_in", "bucket"], "left_semi").drop("stored_in", "bucket")
 
 
 def registered(spark: SparkSession, set_key: str, data_path: str, registry_path: str) -> DataFrame:
-    """The stored rows of registered sets."""
-    known = spark.read.parquet(registry_path).select(set_key).distinct()
-    return spark.read.parquet(data_path).join(known, set_key, "left_semi")
+    """The stored rows of all registered sets."""
+    return rows_of_sets(spark, registry(spark, set_key, registry_path), set_key, data_path)

@@ -68,18 +68,6 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path)
 
 
-def read_sets(spark: SparkSession, files: DataFrame, path: str) -> DataFrame:
-    """The Parquet files named in column `path`, as one table with the `_file` each row is from.
-
-    Only the names pass through the driver: they are the registry's metadata, not data, and Spark
-    lists them there for any read.
-    """
-    paths = sorted(r[0] for r in files.select(path).distinct().collect())
-    if not paths:
-        raise ValueError("no file to read")
-    return spark.read.parquet(*paths).withColumn("_file", F.col("_metadata.file_path"))
-
-
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     """Files as (path, modificationTime, length, content); the content is read only if used."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
