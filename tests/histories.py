@@ -8,6 +8,7 @@ def day(text):
     return date(2026, int(month), int(d))
 
 
+# Golden rows of the temporal join.
 ISSUES_SCHEMA = "issue_key string, changed_at date, status string, story_points int, component_key string"
 COMPONENTS_SCHEMA = "component_key string, changed_at date, safety_class string, owner_team string"
 
