@@ -17,6 +17,11 @@ HEX = r"[0-9a-f]{16,}"
 # The lookbehind stops the search from trying every end of a long run.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 
+# Numbers merged in one go where an array has a running sum, and characters of a text cut at a time.
+CHUNK, TEXT_CHUNK = 128, 4_096
+# Bits of a count of up to 20, and counts in a long.
+COUNT_BITS, PER_WORD = 5, 12
+
 KINDS = ("assign", "access", "hex", "entropy")
 LEAST_ASSIGNED = 12
 WINDOW = 20
@@ -58,48 +63,110 @@ def _spans(text: Column, pattern: str, kind: str, group: int | None = None, leas
     steps = F.arrays_zip(
         found.alias("found"), inner.alias("inner"), F.slice(between, 1, F.size(found)).alias("before")
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,found:string>>").alias("spans"))
 
-    def add(state, step):
-        begin = state["at"] + F.length(step["before"])
-        end = begin + F.length(step["found"])
-        span = F.struct(
-            begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), step["found"].alias("found")
+    def placed(steps: Column) -> Column:
+        before = _before_each(F.transform(steps, lambda m: F.length(m["before"]) + F.length(m["found"])), lambda a, b: a + b)
+        pairs = F.filter(F.arrays_zip(steps.alias("match"), before.alias("after")), lambda p: F.length(p["match"]["inner"]) >= least)
+        return F.transform(
+            pairs,
+            lambda p: F.struct(
+                (p["after"] + F.length(p["match"]["before"])).alias("start"),
+                F.lit(KINDS.index(kind)).alias("kind"),
+                (p["after"] + F.length(p["match"]["before"]) + F.length(p["match"]["found"])).alias("end"),
+                p["match"]["found"].alias("found"),
+            ),
         )
-        spans = F.when(F.length(step["inner"]) >= least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
 
     none = F.array().cast("array<struct<start:int,kind:int,end:int,found:string>>")
-    return F.when(F.size(found) > 0, F.aggregate(steps, start, add, lambda s: s["spans"])).otherwise(none)
+    return F.when(F.size(found) > 0, _let(steps, placed)).otherwise(none)
+
+
+def _let(value: Column, use) -> Column:
+    """`use(value)` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _before_each(numbers: Column, merge, levels: int = 3) -> Column:
+    """For each number the merge of 0 and all numbers before it.
+
+    Chunk by chunk, each from the merge of the chunks before. A step copies one chunk at most, so that the work is linear up to
+    `CHUNK` to the power of `levels` numbers.
+    """
+
+    def within(chunk: Column, start: Column) -> Column:
+        state = F.struct(start.alias("at"), F.array().cast("array<int>").alias("seen"))
+        step = lambda s, x: F.struct(merge(s["at"], x).alias("at"), F.concat(s["seen"], F.array(s["at"])).alias("seen"))
+        return F.aggregate(chunk, state, step, lambda s: s["seen"])
+
+    if levels == 1:
+        return within(numbers, F.lit(0))
+
+    def chunked(numbers: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(numbers), F.lit(1)), F.lit(CHUNK))
+        return _let(F.transform(starts, lambda i: F.slice(numbers, i, CHUNK)), merged)
+
+    def merged(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), merge))
+        zipped = F.arrays_zip(chunks.alias("chunk"), _before_each(totals, merge, levels - 1).alias("start"))
+        return F.flatten(F.transform(zipped, lambda z: within(z["chunk"], z["start"])))
+
+    return _let(numbers, chunked)
 
 
 def peak_entropy(text: Column, window: int = WINDOW) -> Column:
     """The largest Shannon entropy, in bits, of `window` neighbouring characters; 0 for shorter texts.
 
     The sum of c*log2(c) over the counts c of a window follows from the one before by the counts of
-    the character that leaves and of the one that enters.
+    the character that leaves and of the one that enters. The counts are kept from step to step, `PER_WORD` to a number; a
+    step takes one from the first and gives one to the second. They cover ASCII from "+" to "z", all that keys are made of.
     """
     weight = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)))
-    count = lambda w, ch: F.size(F.filter(w, lambda x: x == ch))
     of = lambda c: F.get(weight, c)
+    names = [f"count{i}" for i in range(-(-(ord("z") - ord("+") + 1) // PER_WORD))]
+    code = lambda ch: F.ascii(ch) - ord("+")
+    place = lambda ch: (code(ch) % PER_WORD) * COUNT_BITS
+    one = lambda ch: F.call_function("shiftleft", F.lit(1).cast("long"), place(ch))
+
+    def changed(counts: list[Column], ch: Column, by: int) -> list[Column]:
+        word = F.floor(code(ch) / PER_WORD)
+        return [c + F.when(word == i, one(ch) * by).otherwise(F.lit(0)) for i, c in enumerate(counts)]
 
-    def step(state, ch):
-        full = F.size(state["chars"]) == window
+    def count(counts: list[Column], ch: Column) -> Column:
+        word = F.get(F.array(*counts), F.floor(code(ch) / PER_WORD).cast("int"))
+        return F.call_function("shiftright", word, place(ch)).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
+
+    def leave(state, ch):
         gone = F.get(state["chars"], F.lit(0))
-        n_gone = count(state["chars"], gone)
-        rest = F.when(full, F.slice(state["chars"], 2, window)).otherwise(state["chars"])
-        less = F.when(full, of(n_gone - 1) - of(n_gone)).otherwise(F.lit(0.0))
-        n_new = count(state["chars"], ch) - F.when(full & (gone == ch), 1).otherwise(0)
-        total = state["total"] + less + of(n_new + 1) - of(n_new)
+        counts = [state[n] for n in names]
+        n = count(counts, gone)
+        less = F.struct(
+            F.slice(state["chars"], 2, window).alias("chars"),
+            (state["total"] + of(n - 1) - of(n)).alias("total"),
+            state["peak"].alias("peak"),
+            *(c.alias(name) for c, name in zip(changed(counts, gone, -1), names)),
+        )
+        return F.when(F.size(state["chars"]) == window, less).otherwise(state)
+
+    def enter(state, ch):
+        counts = [state[n] for n in names]
+        n = count(counts, ch)
+        total = state["total"] + of(n + 1) - of(n)
         complete = F.size(state["chars"]) >= window - 1
         bits = F.when(complete, F.lit(math.log2(window)) - total / window).otherwise(F.lit(0.0))
         return F.struct(
-            F.concat(rest, F.array(ch)).alias("chars"), total.alias("total"), F.greatest(state["peak"], bits).alias("peak")
+            F.concat(state["chars"], F.array(ch)).alias("chars"),
+            total.alias("total"),
+            F.greatest(state["peak"], bits).alias("peak"),
+            *(c.alias(name) for c, name in zip(changed(counts, ch, 1), names)),
         )
 
     first = F.struct(
-        F.array().cast("array<string>").alias("chars"), F.lit(0.0).alias("total"), F.lit(0.0).alias("peak")
+        F.array().cast("array<string>").alias("chars"),
+        F.lit(0.0).alias("total"),
+        F.lit(0.0).alias("peak"),
+        *(F.lit(0).cast("long").alias(n) for n in names),
     )
+    step = lambda state, ch: _let(leave(state, ch), lambda left: enter(left, ch))
     return F.aggregate(F.split(text, ""), first, step, lambda s: s["peak"])
 
 
@@ -149,15 +216,24 @@ def span_list(spans: Column) -> Column:
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """The text with each span, or each union of overlapping spans, replaced by `mark`."""
 
-    def add(state, s):
-        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        out = F.when(
-            s["start"] >= state["at"], F.concat(state["out"], F.array(gap, F.lit(mark)))
-        ).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    tail = lambda state: F.concat(
-        F.array_join(state["out"], ""), F.substring(text, state["at"] + 1, F.length(text))
-    )
-    return F.when(F.size(spans) > 0, F.aggregate(spans, first, add, tail)).otherwise(text)
+    def marked(spans: Column) -> Column:
+        # The furthest end of the spans before each: where the text that is kept goes on.
+        before = _before_each(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        apart = F.filter(F.arrays_zip(spans.alias("span"), before.alias("at")), lambda z: z["span"]["start"] >= z["at"])
+        starts = F.sequence(F.lit(1), F.length(text), F.lit(TEXT_CHUNK))
+        chunks = F.transform(starts, lambda i: F.substring(text, i, F.lit(TEXT_CHUNK)))
+        return _let(apart, lambda apart: _let(chunks, lambda chunks: pieces(spans, apart, chunks)))
+
+    def pieces(spans: Column, apart: Column, chunks: Column) -> Column:
+        def part(low: Column, high: Column) -> Column:
+            # Of the few chunks that hold it: to find a place in a text takes as long as the text before it.
+            first = F.floor(low / TEXT_CHUNK).cast("int")
+            several = F.slice(chunks, first + 1, F.floor((high - 1) / TEXT_CHUNK).cast("int") - first + 1)
+            cut = F.substring(F.array_join(several, ""), low - first * TEXT_CHUNK + 1, high - low)
+            return F.when(high > low, cut).otherwise("")
+
+        kept = F.transform(apart, lambda z: F.concat(part(z["at"], z["span"]["start"]), F.lit(mark)))
+        return F.concat(F.array_join(kept, ""), part(F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text)))
+
+    return F.when(F.size(spans) > 0, _let(spans, marked)).otherwise(text)
