@@ -138,7 +138,7 @@ def build_index(documents: DataFrame, path: str, doc_id: str = "doc_id", text: s
     """Indexes every row with a term at `path`.
 
     Null and empty texts and those without a term are in no list and not counted. Rows that repeat an id are documents of their own. One
-    shuffle, of the documents' terms, by ranges of (m, hash of the id): a stratum that holds a third of all rows is spread.
+    shuffle, of the documents' terms, by ranges of the hashes of m and of the id: a stratum that holds a third of all rows is spread.
     """
     spark = documents.sparkSession
     rows, rows_path = stored(vectors(documents, doc_id, text), "vectors")
@@ -163,7 +163,8 @@ def build_index(documents: DataFrame, path: str, doc_id: str = "doc_id", text: s
             yield _block_rows(now, number, held, schema)
 
     dealt = rows.select(m.cast("long").alias("m"), "doc_id", "terms", "tfs")
-    dealt = dealt.repartitionByRange(spread(spark), "m", F.xxhash64("doc_id")).sortWithinPartitions("m", "doc_id")
+    # By the hash of m, so that the strata of long documents don't all come together.
+    dealt = dealt.repartitionByRange(spread(spark), F.xxhash64("m"), F.xxhash64("doc_id")).sortWithinPartitions("m", "doc_id")
     dealt.mapInArrow(run, from_arrow_schema(schema)).write.parquet(path)
     discard(spark, rows_path)
     return Index(path, n_documents, n_terms)
