@@ -268,26 +268,24 @@ def search(
 
     Every row of `queries` is a query of its own, rows with equal ids too. One without a term that the index has finds nothing.
     """
-    schema = _index_schema(pa.null())
     rows = spark.read.parquet(index.path)
-    assert rows.schema.names == schema.names
     asked, _ = stored(vectors(queries, item_id, text), "queries")
     # A number per row, made before the terms become rows.
     asked, _ = stored(asked.withColumn("item", F.monotonically_increasing_id()), "numbered")
     asked = asked.select("item", "doc_id", F.explode("terms").alias("term"))
     postings = rows.where(F.col("term").isNotNull())
-    df = postings.join(asked.select("term").distinct(), "term").groupBy("term").agg(F.sum("n_docs").alias("df"))
-    # In doubles; everything else is whole numbers.
-    w = F.floor(F.log(F.lit(2 * index.documents + 2).cast("double") / (F.col("df") * 2 + 1).cast("double")) * 1000)
-    weights, _ = stored(asked.join(df, "term").select("item", "term", w.cast("long").alias("w")), "weights")
-
-    turns = -(-weights.count() // pairs_at_once)
+    turns = -(-asked.count() // pairs_at_once)
     found = []
     for turn in range(turns):
-        own = weights.where(F.pmod(F.xxhash64("item"), F.lit(turns)) == turn)
+        own = asked.where(F.pmod(F.xxhash64("item"), F.lit(turns)) == turn)
+        # Broadcasts of terms and queries in this loop are bounded by the pairs of a turn.
+        df = postings.join(F.broadcast(own.select("term").distinct()), "term").groupBy("term").agg(F.sum("n_docs").alias("df"))
+        # In doubles; everything else is whole numbers.
+        w = F.floor(F.log(F.lit(2 * index.documents + 2).cast("double") / (F.col("df") * 2 + 1).cast("double")) * 1000)
+        own, _ = stored(own.join(df, "term").select("item", "term", w.cast("long").alias("w")), "weights")
         most = F.sum(F.col("w") * impact(F.col("max_tf"), F.col("m"))).alias("bound")
         bounds, bounds_path = stored(
-            postings.select("m", "block", "term", "max_tf").join(own, "term").groupBy("item", "block").agg(most), "bounds"
+            postings.select("m", "block", "term", "max_tf").join(F.broadcast(own), "term").groupBy("item", "block").agg(most), "bounds"
         )
         sizes = rows.where(F.col("term").isNull()).select("block", "n_docs")
         in_order = Window.partitionBy("item").orderBy(F.desc("bound"), "block").rowsBetween(Window.unboundedPreceding, -1)
@@ -296,7 +294,7 @@ def search(
         early, early_path = stored(early.groupBy("block").agg(F.max("bound").alias("order")), "early")
         # The rows of terms that are asked for, and of the documents.
         known = own.select("term").distinct().unionByName(spark.createDataFrame([(None,)], "term string")).withColumnRenamed("term", "known")
-        wanted = rows.join(known, F.col("term").eqNullSafe(F.col("known")), "left_semi")
+        wanted = rows.join(F.broadcast(known), F.col("term").eqNullSafe(F.col("known")), "left_semi")
 
         def visited(blocks: DataFrame) -> DataFrame:
             dealt = wanted.join(blocks, "block").repartition(spread(spark), "block")
