@@ -152,6 +152,9 @@ class Encoder:
         self.v = vocabulary
         self.lists = (vocabulary.base.tolist(), vocabulary.check.tolist(), vocabulary.piece.tolist())
         self.score_list = vocabulary.scores.tolist()
+        self.code_of = np.zeros(0x110000, np.int32)
+        for c, code in vocabulary.codes.items():
+            self.code_of[ord(c)] = code
         self.known: dict[str, bytes] = {}
 
     def segments(self, text: str) -> list[str]:
@@ -230,9 +233,9 @@ class Encoder:
 
     def _best_paths(self, group: list[str], n: int) -> Iterator[tuple[str, bytes]]:
         """Segments of n characters each, all of them a step at a time."""
-        v = self.v
-        get, m = v.codes.get, len(group)
-        codes = np.array([[get(c, 0) for c in s] for s in group], np.int32)
+        v, m = self.v, len(group)
+        # Lone surrogates are characters like any other that no piece has.
+        codes = self.code_of[np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32)].reshape(m, n)
         best = np.full((m, n + 1), -np.inf)
         best[:, 0] = 0
         start, which = np.zeros((m, n + 1), np.int32), np.full((m, n + 1), -1, np.int32)
@@ -267,20 +270,21 @@ class Encoder:
             out[rows, at - 1] = which[rows, at]
             place[rows] = start[rows, at]
             rows = rows[place[rows] > 0]
-        for s, ids in zip(group, out):
-            if (ids == -1).any():
-                ids = np.array(
-                    [
-                        x
-                        for i, w in enumerate(ids.tolist())
-                        if w != -2
-                        for x in ([w] if w >= 0 else [v.first_byte + b for b in s[i].encode("utf-8", "replace")])
-                    ],
-                    np.int32,
-                )
-            else:
-                ids = ids[ids >= 0]
-            yield s, ids.tobytes()
+        # The ids of all segments in a row, and where each one's begin.
+        kept = out >= 0
+        flat, ends = out[kept].tobytes(), np.concatenate([[0], np.cumsum(kept.sum(axis=1))]).tolist()
+        by_bytes = set(np.flatnonzero((out == -1).any(axis=1)).tolist())
+        for i, s in enumerate(group):
+            if i not in by_bytes:
+                yield s, flat[4 * ends[i] : 4 * ends[i + 1]]
+                continue
+            ids = [
+                x
+                for c, w in enumerate(out[i].tolist())
+                if w != -2
+                for x in ([w] if w >= 0 else [v.first_byte + b for b in s[c].encode("utf-8", "replace")])
+            ]
+            yield s, np.array(ids, np.int32).tobytes()
 
 
 def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str:
