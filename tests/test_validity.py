@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import READING_NAME
 from tidemark.operators import slices
+from tidemark.operators import uploads as uploads_operators
 from tidemark.operators import validity as validity_operators
 from tidemark.operators.slices import find_cuts
 from tidemark.operators.uploads import (
@@ -238,6 +239,20 @@ def test_safe_names(spark, monkeypatch, hot):
     assert by_set == expected
 
 
+def test_safe_names_of_a_large_mixed_family(spark, monkeypatch):
+    """Several tasks share the family, and the rounds don't grow with it."""
+    monkeypatch.setattr(slices, "ROWS_PER_TASK", 400)
+    rng = random.Random(12)
+    rounds = []
+    after_taken = uploads_operators._after_taken
+    monkeypatch.setattr(uploads_operators, "_after_taken", lambda *a: rounds.append(1) or after_taken(*a))
+    names = ["x.csv"] * 600 + [f"x_{rng.randrange(900)}.csv" for _ in range(200)] + ["x_7.csv"] * 100 + ["x_7_3.csv"]
+    rng.shuffle(names)
+    got = safe_names(spark.createDataFrame([(1, i, n) for i, n in enumerate(names)], "s int, n int, name string"), "s", "n", "name")
+    assert [r.safe_name for r in sorted(got.collect(), key=lambda r: r.n)] == spool(names)
+    assert len(rounds) < 20
+
+
 def test_complete_sets(spark):
     parts = spark.createDataFrame(
         [("a", T0, False), ("a", T0, False), ("b", T0, False), ("b", T0, True),

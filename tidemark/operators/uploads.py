@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import sha256
-from tidemark.operators.slices import running_count
+from tidemark.operators.slices import running_count, running_sum
 from tidemark.session import runs_on_executors, written
 
 runs_on_executors(__name__)
@@ -96,8 +96,14 @@ def safe_names(files: DataFrame, set_key: str, order: str, name: str) -> DataFra
     Files take their names in upload order. A taken name gets the first free suffix `_1`, `_2`, ...
     before its extension; a real file called `x_1` may already hold one of those. Names can get in
     each other's way only if they agree up to such suffixes and the extension (a family). In a
-    family of one name the n-th file simply gets suffix n - 1; only a family that mixes several
-    names and repeats one needs the files replayed in order.
+    family of one name the n-th file simply gets suffix n - 1.
+
+    In a family that mixes several names and repeats one, each file first takes the number of files
+    of its name before it. Where two names come to the same file name, the earlier file keeps it, and
+    the number is taken for the other name from that file on; its files then take the n-th free
+    number. That goes on until no file name is wanted twice. A name is only ever lost to an earlier
+    file, so that this ends with what taking names one after the other gives. Rounds are as many as a
+    file loses names, not as there are files, and a large family is worked on by several tasks.
     """
     bare = F.coalesce(F.nullif(F.regexp_extract(name, r"([^/]+)/*$", 1), F.lit("")), F.lit("upload"))
     split = (
@@ -123,42 +129,77 @@ def safe_names(files: DataFrame, set_key: str, order: str, name: str) -> DataFra
             F.concat("_stem", F.lit("_"), (F.col("_rank") - 1).cast("string"), "_suffix")
         ),
     )
-    mixed = known.where(clash & ~single)
-    replayed = (
-        mixed.repartition(*[F.col(c) for c in family])
-        .sortWithinPartitions(*family, order)
-        .mapInArrow(_replay_names(family), mixed.withColumn("safe_name", F.lit("")).schema)
-    )
+    mixed = running_sum(known.where(clash & ~single), family, [order], F.lit(1).cast("long"), "_at")
+    mixed = written(running_sum(mixed, [*family, "_bare"], ["_at"], F.lit(1).cast("long"), "_rank"), "mixed")
     columns = [*files.columns, "safe_name"]
-    return (
-        plain.select(*columns)
-        .unionByName(suffixed.select(*columns))
-        .unionByName(replayed.select(*columns))
-    )
+    undisputed = plain.select(*columns).unionByName(suffixed.select(*columns))
+    if mixed.isEmpty():
+        return undisputed
+    chosen = _free_numbers(mixed.select(*family, "_bare", "_stem", "_at", (F.col("_rank") - 1).alias("_rank")), family)
+    settled = mixed.join(chosen.select(*family, "_at", "safe_name"), [*family, "_at"])
+    return undisputed.unionByName(settled.select(*columns))
+
+
+def _free_numbers(files: DataFrame, family: list[str]) -> DataFrame:
+    """The files (family, _bare, _stem, _at, _rank) with the `safe_name` that each ends up with.
 
+    `_at` numbers a family's files in order, `_rank` those of one bare name from 0.
+    """
+    group, taken = [*family, "_bare"], None
+    numbered_name = F.concat("_stem", F.lit("_"), F.col("_number").cast("string"), "_suffix")
+    name = F.when(F.col("_number") == 0, F.col("_bare")).otherwise(numbered_name)
+    while True:
+        number = files.withColumn("_number", F.col("_rank")) if taken is None else _after_taken(files, taken, family)
+        named = written(number.withColumn("safe_name", name), "names")
+        wanted = named.groupBy(*family, "safe_name").agg(F.min("_at").alias("_by"), F.count(F.lit(1)).alias("_files"))
+        wanted = wanted.where("_files > 1").select(*family, "safe_name", "_by")
+        lost = named.join(wanted, [*family, "safe_name"]).where("_at > _by").select(*group, "_number", "_by")
+        lost = written(lost if taken is None else lost.unionByName(taken), "taken")
+        lost = lost.groupBy(*group, "_number").agg(F.min("_by").alias("_by"))
+        if taken is not None and lost.exceptAll(taken).isEmpty() or taken is None and lost.isEmpty():
+            return named
+        taken = written(lost, "taken")
+
+
+def _after_taken(files: DataFrame, taken: DataFrame, family: list[str]) -> DataFrame:
+    """Adds `_number`: the `_rank`-th number that is free for the file.
+
+    `taken` has numbers of a bare name (group) that files from `_by` on can't have.
+    """
+    group = [*family, "_bare"]
+    # How many files of the group come before `_by`: none of them minds.
+    both = files.select(*group, "_at", F.lit(1).cast("long").alias("_file")).unionByName(
+        taken.select(*group, F.col("_by").alias("_at"), F.lit(0).cast("long").alias("_file"), "_number"), allowMissingColumns=True
+    )
+    counted = running_sum(both, group, ["_at", "_file"], F.col("_file"), "_before")
+    rows = counted.where("_file = 0").select(*group, "_number", "_before")
+    schema = T.StructType([*rows.schema.fields[:-2], T.StructField("_rank", T.LongType())])
 
-def _replay_names(family: list[str]):
-    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, taken, tried = None, set(), {}
+    def skipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A step per taken number: which file would come to it, and whether it can't have it.
+        current, n = None, 0
         for batch in batches:
-            names = []
-            columns = [batch.column(c).to_pylist() for c in [*family, "_bare", "_stem", "_suffix"]]
-            for *group, bare, stem, suffix in zip(*columns):
-                if group != current:
-                    current, taken, tried = group, set(), {}
-                name = bare
-                while name in taken:
-                    # Suffixes only ever get taken, so the search resumes where it ended.
-                    tried[bare] = tried.get(bare, 0) + 1
-                    name = f"{stem}_{tried[bare]}{suffix}"
-                taken.add(name)
-                names.append(name)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names, pa.string())],
-                names=[*batch.schema.names, "safe_name"],
-            )
-
-    return replay
+            ranks, kept = [], []
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for i, (*key, number, before) in enumerate(zip(*columns)):
+                if key != current:
+                    current, n = key, 0
+                if number - n >= before:
+                    ranks.append(number - n)
+                    kept.append(i)
+                    n += 1
+            some = batch.take(pa.array(kept, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*some.columns[:-2], pa.array(ranks, pa.int64())], names=schema.names)
+
+    # From `_rank` on a file's number is one more.
+    skips = rows.repartition(*[F.col(c) for c in group]).sortWithinPartitions(*group, "_number").mapInArrow(skipped, schema)
+    later = files.withColumn("_skip", F.lit(0).cast("long")).unionByName(
+        skips.withColumn("_skip", F.lit(1).cast("long")), allowMissingColumns=True
+    )
+    # At one rank the skips come first.
+    order = F.when(F.col("_skip") == 1, 0).otherwise(1)
+    moved = running_sum(later.withColumn("_order", order), group, ["_rank", "_order"], F.col("_skip"), "_skipped")
+    return moved.where("_skip = 0").withColumn("_number", F.col("_rank") + F.col("_skipped")).select(*files.columns, "_number")
 
 
 def complete_sets(

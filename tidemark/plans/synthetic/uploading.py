@@ -215,10 +215,31 @@ def names(spark, sf):
     return safe_names(files, "user_id", "event_id", "name").select("event_id", "safe_name")
 
 
-@query("d4_safe_names_with_real_suffixes")
+# Files of a set take their names one after the other: a step of the recursion is the next file of each set.
+SUFFIXES_SQL = """
+WITH RECURSIVE f AS (
+    SELECT user_id, event_id, event_type || CASE WHEN value > 20 THEN '_1' ELSE '' END AS stem,
+        row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n, event_type
+    FROM events
+),
+t AS (
+    SELECT user_id, event_type, 0::BIGINT AS n, []::VARCHAR[] AS taken, NULL::BIGINT AS event_id, NULL::VARCHAR AS safe_name
+    FROM (SELECT DISTINCT user_id, event_type FROM events)
+    UNION ALL
+    SELECT user_id, event_type, n, list_append(taken, safe_name), event_id, safe_name
+    FROM (
+        SELECT t.user_id, t.event_type, f.n, t.taken, f.event_id,
+            CASE WHEN NOT list_contains(t.taken, f.stem || '.csv') THEN f.stem || '.csv' ELSE f.stem || '_'
+                || list_filter(range(1, f.n + 1), lambda i: NOT list_contains(t.taken, f.stem || '_' || i || '.csv'))[1] || '.csv'
+            END AS safe_name
+        FROM t JOIN f ON f.user_id = t.user_id AND f.event_type = t.event_type AND f.n = t.n + 1
+    )
+)
+SELECT event_id, safe_name FROM t WHERE n > 0"""
+
+
+@query("d4_safe_names_with_real_suffixes", SUFFIXES_SQL)
 def suffixed_names(spark, sf):
-    # Suffixes that are taken by real names need the files in order, which SQL has no form for;
-    # tests/test_validity.py compares this with a replay.
     stem = F.when(F.col("value") > 20, F.concat("event_type", F.lit("_1"))).otherwise(F.col("event_type"))
     files = load(spark, sf, "events").select(
         "user_id", "event_id", F.concat(stem, F.lit(".csv")).alias("name")
