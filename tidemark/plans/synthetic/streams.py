@@ -81,17 +81,20 @@ def gauges(spark, sf):
     return rounded(spark.read.schema(hours.schema).parquet(out), "mem_bytes_avg")
 
 
-# A conversation is a set and its turns are the parts; the third turn brings the commit.
+# A conversation is a set and its turns are the parts; the third turn brings the commit. When all is read, a part and a second
+# commit come for each committed set.
 TURN_AT = "TIMESTAMP '2024-01-01' + to_minutes(CAST(conv_id * 10 + turn AS BIGINT))"
 
 
 @query(
     "r3_d11_d12_assembly_stream",
-    f"""SELECT CAST(conv_id AS VARCHAR) AS set_id, parts, last_part,
-        CASE WHEN committed AND cut THEN 'truncated' WHEN committed THEN 'complete' ELSE 'abandoned' END AS status
-        FROM (SELECT conv_id, count(*) AS parts, max({TURN_AT}) AS last_part, bool_or(turn = 2) AS committed,
-                bool_or(length(text) > 800) AS cut FROM conversations GROUP BY conv_id)
-        WHERE committed OR last_part + INTERVAL 1 HOUR < (SELECT max({TURN_AT}) FROM conversations) - INTERVAL 10 MINUTE""",
+    f"""WITH s AS (SELECT conv_id, count(*) AS parts, max({TURN_AT}) AS last_part, bool_or(turn = 2) AS committed,
+          bool_or(length(text) > 800) AS cut FROM conversations GROUP BY conv_id),
+        m AS (SELECT max({TURN_AT}) + INTERVAL 1 MINUTE AS after FROM conversations)
+        SELECT CAST(conv_id AS VARCHAR) AS set_id, parts, last_part,
+          CASE WHEN committed AND cut THEN 'truncated' WHEN committed THEN 'complete' ELSE 'abandoned' END AS status
+        FROM s, m WHERE committed OR last_part + INTERVAL 1 HOUR < after - INTERVAL 10 MINUTE
+        UNION ALL SELECT CAST(conv_id AS VARCHAR), 1, after, 'late' FROM s, m WHERE committed""",
 )
 def assembly(spark, sf):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
@@ -103,15 +106,22 @@ def assembly(spark, sf):
         (F.length("text") > 800).alias("truncated"), "turn",
     )
     commits = parts.where(F.col("turn") == 2).withColumn("kind", F.lit("commit"))
-    messages = streamed(spark, parts.unionByName(commits).drop("turn"), "messages")
-    out = work_path(spark, "sets")
-    statuses = assemble_stream(messages, 3600, "10 minutes")
-    finish(
-        statuses.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", work_path(spark, "state"))
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+    after = parts.agg((F.max("at") + F.expr("INTERVAL 1 MINUTE")).alias("at"))
+    kinds = F.explode(F.array(F.lit("part"), F.lit("commit"))).alias("kind")
+    late = commits.select("set_id", kinds, "truncated").join(F.broadcast(after)).select("set_id", "at", "kind", "truncated")
+
+    source, out, state = (work_path(spark, n) for n in ("messages", "sets", "state"))
+    for messages in (parts.unionByName(commits).drop("turn"), late):
+        messages.write.mode("append").parquet(source)
+        # The second run goes on from the state of the first.
+        stream = spark.readStream.schema(messages.schema).parquet(source)
+        statuses = assemble_stream(stream, 3600, "10 minutes", remember_seconds=10 * 366 * 86_400)
+        finish(
+            statuses.writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", state)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
     return spark.read.schema(statuses.schema).parquet(out)
