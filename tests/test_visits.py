@@ -27,19 +27,22 @@ def test_parse_visits(spark):
         line(path="/admin/x", app="admin", dashboard_session="", admin_session="t"),
         line(dashboard_session="", status=""), "", '{"ts":"2026', line() + "}", line() + ',"a":1', '"text"', "17", "[1]",
         line(ts="soon"), line(status="ok"), line(ua="back\\slash\ttab"),
+        '{"ua":"first","deep":[{"a":1,"a":2}],' + line(ts="2026-03-01")[1:], line(ts="2026"),
     ]
     visits, bad = parse_visits(spark.createDataFrame([(t,) for t in lines], "value string"))
     rows = visits.collect()
-    assert [r.dashboard_uid for r in rows] == ["abc", "xyz", None, "abc", "abc"]
-    assert [r.client_ip for r in rows] == ["10.0.0.1", "1.2.3.4", "10.0.0.1", "10.0.0.1", "10.0.0.1"]
-    assert [r.session_hash for r in rows] == [md5("s"), md5("s"), md5("t"), NO_SESSION, md5("s")]
-    assert [r.status for r in rows] == [200, 200, 200, None, 200]
+    assert [r.dashboard_uid for r in rows] == ["abc", "xyz", None, "abc", "abc", "abc"]
+    assert [r.client_ip for r in rows] == ["10.0.0.1", "1.2.3.4", "10.0.0.1", "10.0.0.1", "10.0.0.1", "10.0.0.1"]
+    assert [r.session_hash for r in rows] == [md5("s"), md5("s"), md5("t"), NO_SESSION, md5("s"), md5("s")]
+    assert [r.status for r in rows] == [200, 200, 200, None, 200, 200]
     assert rows[0].visited_at == datetime(2026, 3, 1, 10)
     assert rows[4].user_agent == "back\\slash\ttab"
+    # Of a key named twice the last value counts.
+    assert (rows[5].visited_at, rows[5].user_agent) == (datetime(2026, 3, 1), "agent")
     assert [r.reason for r in bad.collect()] == ["not JSON"] * 3 + [
-        "not an object", "not an object", "not an object", "bad ts", "bad status"]
+        "not an object", "not an object", "not an object", "bad ts", "bad status", "bad ts"]
     assert "cookie" not in " ".join(visits.columns) and "dashboard_session" not in visits.columns
-    assert valid_json(spark.createDataFrame([(t,) for t in lines], "v string"), "v").count() == 10
+    assert valid_json(spark.createDataFrame([(t,) for t in lines], "v string"), "v").count() == 12
 
 
 def test_page_views(spark):

@@ -125,6 +125,12 @@ def iso_timestamp(text: Column | str) -> Column:
     return F.when(text.rlike(shape), F.try_to_timestamp(zoned))
 
 
+def log_timestamp(text: Column | str) -> Column:
+    """ISO 8601 text, or a date alone, as an instant; NULL for anything else, such as a year."""
+    day = F.when(F.trim(col(text)).rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_timestamp(F.trim(col(text))))
+    return F.coalesce(iso_timestamp(text), day)
+
+
 def json_text(document: Column | str, field: str) -> Column:
     """`document ->> field` on a text column; NULL for bad JSON or a missing field."""
     return F.get_json_object(col(document), f"$.{field}")
@@ -134,7 +140,8 @@ def is_json(document: Column | str) -> Column:
     """Whether the text is exactly one JSON value of any kind, scalars included.
 
     The parser stops at the end of the first value and ignores what follows. Only a single value
-    is valid both as the element of an array and as the member of an object.
+    is valid both as the element of an array and as the member of an object. Objects that name a key twice
+    are JSON with the settings of `tidemark.session`.
     """
     text = col(document)
     element = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))

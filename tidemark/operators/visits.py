@@ -15,6 +15,7 @@ from tidemark.functions import (
     col,
     dashboard_uid,
     is_json,
+    log_timestamp,
     session_hash,
 )
 from tidemark.operators.slices import AUTO, Cuts, sliced
@@ -79,7 +80,7 @@ def parse_visits(
     status = F.nullif(F.col("status"), F.lit(""))
     parsed = raw.select(
         "line",
-        F.col("ts").try_cast("timestamp").alias("visited_at"),
+        log_timestamp("ts").alias("visited_at"),
         "app",
         F.col("path").alias("url_path"),
         dashboard_uid("path").alias("dashboard_uid"),
@@ -89,7 +90,7 @@ def parse_visits(
         F.col("ua").alias("user_agent"),
         F.when(~is_json("line"), "not JSON")
         .when(~F.col("line").rlike(r"^\s*\{"), "not an object")
-        .when(F.col("ts").try_cast("timestamp").isNull(), "bad ts")
+        .when(log_timestamp("ts").isNull(), "bad ts")
         .when(status.isNotNull() & status.try_cast("int").isNull(), "bad status")
         .alias("reason"),
     )

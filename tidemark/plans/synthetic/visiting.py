@@ -21,8 +21,10 @@ from tidemark.sources.files import parse_readings
 
 
 def log_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as visit log lines. Errors carry a stray brace, signups have no proper status."""
+    """Events as visit log lines. Errors carry a stray brace, signups have no proper status or time, purchases give
+    their app twice."""
     kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    no_time = (kind == "signup") & (F.col("value") > 20)
     path = (
         F.when(kind == "view", F.concat(F.lit("/dashboards/d/u"), user, F.lit("/name")))
         .when(kind == "click", F.concat(F.lit("/dashboards/d-solo/u"), user, F.lit("/name")))
@@ -30,10 +32,10 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
     admin = kind == "purchase"
     record = F.struct(
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("ts"),
+        F.when(no_time, "2026").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")).alias("ts"),
         F.when(admin, "admin").otherwise("dashboards").alias("app"),
         path.alias("path"),
-        F.when(kind == "signup", "none").otherwise("200").alias("status"),
+        F.when((kind == "signup") & ~no_time, "none").otherwise("200").alias("status"),
         F.concat(F.lit("10.0.0."), user).alias("ip"),
         F.when(kind == "view", F.concat(F.lit("1.2.3."), user, F.lit(", 5.6.7.8"))).otherwise("").alias("xff"),
         F.col("props").alias("ua"),
@@ -41,7 +43,8 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("value") > 20, user).otherwise("").alias("admin_session"),
     )
     whole = F.to_json(record)
-    line = F.when(kind == "error", F.concat("whole", F.lit("}"))).otherwise(F.col("whole"))
+    twice = F.concat(F.lit('{"app":"first",'), F.substring("whole", 2, 1_000_000))
+    line = F.when(kind == "error", F.concat("whole", F.lit("}"))).when(admin, twice).otherwise(F.col("whole"))
     rendered = load(spark, sf, "events").withColumn("whole", whole).select(line.alias("value"))
     # Lines come from files; parsing must not render them again for each use.
     return written(rendered, "lines")
@@ -64,7 +67,7 @@ def visits(spark, sf):
 
 @query(
     "v1_quarantine",
-    """SELECT CASE WHEN event_type = 'error' THEN 'not JSON' ELSE 'bad status' END AS reason,
+    """SELECT CASE WHEN event_type = 'error' THEN 'not JSON' WHEN value > 20 THEN 'bad ts' ELSE 'bad status' END AS reason,
        count(*) AS lines FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1""",
 )
 def quarantine(spark, sf):
@@ -80,6 +83,8 @@ def parseable(spark, sf):
     line = (
         F.when(F.col("event_type") == "error", F.concat("props", F.lit("}")))
         .when(F.col("event_type") == "signup", "")
+        # A key twice, within another value as well.
+        .when(F.col("event_type") == "purchase", F.concat(F.lit('{"k":1,"k":[{"v":1,"v":"'), "event_id", F.lit('"}]}')))
         .otherwise(F.col("props"))
     )
     events = load(spark, sf, "events").withColumn("line", line)

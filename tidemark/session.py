@@ -27,6 +27,8 @@ SETTINGS = {
     # Upserts rewrite only the partitions that a batch touches.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # An object that names a key twice is JSON; the last value counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 # Needed by transformWithState only.
