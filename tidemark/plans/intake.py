@@ -6,7 +6,9 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.functions import is_json
 from tidemark.operators.registry import Function, checkers, converters
 from tidemark.operators.uploads import check_not_empty, set_digest, settle
 from tidemark.operators.validity import UNTIL_REPLACED, validity
@@ -40,6 +42,56 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("set_id", "file", text).where(F.col("line") != "")
 
 
+def csv_converter(schema: str) -> Function:
+    """A converter of CSV files with a header and the given columns; a misfit refuses the file's set, and no other.
+
+    A line is a row. Register what it returns under a name of its own.
+    """
+    columns = T.StructType.fromDDL(schema)
+    broken = "_broken"
+    layout = f"{schema}, {broken} string"
+    header = ",".join(columns.names)
+
+    def convert(files: DataFrame) -> DataFrame:
+        text = _text(files)
+        lines = text.select("set_id", "file", "_odd", F.posexplode(F.split("_text", r"\r?\n")).alias("_line", "_text"))
+        parsed = F.from_csv("_text", layout, {"columnNameOfCorruptRecord": broken, "quote": '"', "escape": '"', "nullValue": ""})
+        rows = lines.where((F.col("_text") != "") | F.col("_odd")).withColumn("_row", parsed)
+        reason = (
+            F.when(F.col("_odd"), F.format_string("file '%s' is not UTF-8", "file"))
+            .when((F.col("_line") == 0) & (F.col("_text") != header), F.format_string(f"the header of file '%s' is not {header}", "file"))
+            .when((F.col("_line") > 0) & F.col("_row")[broken].isNotNull(), F.format_string("line %d of file '%s' does not fit", F.col("_line") + 1, "file"))
+        )
+        rows = rows.withColumn("reject_reason", reason).where((F.col("_line") > 0) | F.col("reject_reason").isNotNull())
+        return rows.select("set_id", "file", *[F.col("_row")[c].alias(c) for c in columns.names], "reject_reason")
+
+    return convert
+
+
+def json_converter(schema: str) -> Function:
+    """A converter of JSON files, each an object or an array of objects; what is no JSON refuses the file's set, and no other."""
+    columns = T.StructType.fromDDL(schema)
+
+    def convert(files: DataFrame) -> DataFrame:
+        text = _text(files)
+        whole = F.when(F.col("_text").rlike(r"^\s*\["), F.col("_text")).otherwise(F.concat(F.lit("["), F.col("_text"), F.lit("]")))
+        objects = is_json("_text") & F.col("_text").rlike(r"^\s*[\[{]")
+        reason = F.when(F.col("_odd") | ~objects, F.format_string("file '%s' is not JSON", "file"))
+        rows = text.select("set_id", "file", reason.alias("reject_reason"), F.from_json(whole, T.ArrayType(columns)).alias("_rows"))
+        nothing = F.array(F.lit(None).cast(columns))
+        rows = rows.withColumn("_row", F.explode(F.when(F.col("reject_reason").isNotNull(), nothing).otherwise(F.col("_rows"))))
+        return rows.select("set_id", "file", *[F.col("_row")[c].alias(c) for c in columns.names], "reject_reason")
+
+    return convert
+
+
+def _text(files: DataFrame) -> DataFrame:
+    """The files' bytes as text, and whether they are none (`_odd`)."""
+    text = F.col("content").cast("string")
+    odd = ~F.is_valid_utf8(text)
+    return files.select("set_id", "file", odd.alias("_odd"), F.regexp_replace(F.when(odd, "").otherwise(text), "^\ufeff", "").alias("_text"))
+
+
 def take_in(
     manifest: DataFrame,
     bodies: DataFrame,
@@ -57,8 +109,8 @@ def take_in(
         bodies: The files as (path, length, content), as `read_bodies` gives them. A file without
             a row there is empty.
         checker: Name of a registered checker: files in, one (set_id, reject_reason) per bad set.
-        converter: Name of a registered converter: files in, rows with their set_id out.
-            Without one the files themselves are the rows.
+        converter: Name of a registered converter: files in, rows with their set_id out. A row with a
+            `reject_reason` refuses its set. Without a converter the files themselves are the rows.
         default_validity: The mode of sets that name none.
     """
     check = checkers.get(checker) if checker else None
@@ -89,12 +141,17 @@ def take_in(
         .withColumn("content", F.coalesce("content", F.lit(b"")))
     )
     rows = convert(files) if convert else files
+    unread = []
+    if convert and "reject_reason" in rows.columns:
+        broken = rows.where(F.col("reject_reason").isNotNull())
+        unread = [broken.groupBy("set_id").agg(F.min("reject_reason").alias("reject_reason"))]
+        rows = rows.where(F.col("reject_reason").isNull()).drop("reject_reason")
     empty = (
         sets.select("set_id")
         .join(rows.select("set_id"), "set_id", "left_anti")
         .withColumn("reject_reason", F.lit("no files came of it"))
     )
-    verdicts = [refused] + ([check(files)] if check else []) + [empty]
+    verdicts = [refused] + ([check(files)] if check else []) + unread + [empty]
     settled = settle(judged.drop("reject_reason"), "set_id", verdicts)
 
     good = settled.where(F.col("status") == "ok")

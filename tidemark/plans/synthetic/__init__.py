@@ -3,6 +3,7 @@
 from tidemark.plans.synthetic import (  # noqa: F401
     histories,
     hosts,
+    intakes,
     storing,
     streams,
     tenants,

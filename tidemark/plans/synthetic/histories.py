@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import value_map
 from tidemark.operators.asof import asof_join
-from tidemark.operators.audits import audit_every_row_is_a_change, audit_unique
+from tidemark.operators.audits import audit_every_row_is_a_change, audit_unique, publish
 from tidemark.operators.slices import sliced
 from tidemark.operators.temporal import (
     changes_only,
@@ -14,8 +15,9 @@ from tidemark.operators.temporal import (
     temporal_join,
     temporal_join_theta,
 )
+from tidemark.plans.risk import PAYLOAD, project_a_risk_history, project_b_risk_history, risk_audits, silver_risk_history
 from tidemark.plans.synthetic.registry import query
-from tidemark.session import load, written
+from tidemark.session import load, work_path, written
 
 LHS_SQL = """
 SELECT l_partkey, l_shipdate AS shipped, CASE WHEN min(l_linenumber) <= 2 THEN 'A'
@@ -239,3 +241,70 @@ def previous_row(spark, sf):
         "l_partkey", "shipped", F.col("before.flag").alias("flag_before"),
         F.col("before.link").alias("link_before"),
     )
+
+
+# Parts as issues and suppliers as components: every further column depends on one that is there.
+STATES = {"A": "Done", "N": "In Progress", "R": "To Do"}
+RISK_COLUMNS = """CAST(l_partkey AS VARCHAR) AS issue_id, CAST(ts AS DATE) AS valid_from, {state} AS state, {effort} AS effort,
+    CAST(link AS VARCHAR) AS component_id, class AS safety_class,
+    CASE WHEN class IS NOT NULL THEN 'team ' || (link % 3) END AS owner"""
+A_RISK_SQL = "SELECT 'project_a' AS tenant_id, " + RISK_COLUMNS.format(
+    state="CASE flag WHEN 'A' THEN 'closed' WHEN 'N' THEN 'in_progress' ELSE 'todo' END", effort="CAST(l_partkey % 9 AS INTEGER)"
+) + f" FROM ({JOIN_SQL})"
+B_RISK_SQL = "SELECT 'project_b' AS tenant_id, " + RISK_COLUMNS.format(
+    state="CASE WHEN flag = 'N' THEN 'todo' ELSE 'closed' END", effort="CASE l_partkey % 3 WHEN 0 THEN 8 WHEN 1 THEN 5 ELSE 2 END"
+) + f" FROM ({JOIN_SQL})"
+
+
+def components(spark: SparkSession, sf: str, key: str, ts: str, level: str, team: str) -> DataFrame:
+    rows = supplier_history(spark, sf)
+    owner = F.concat(F.lit("team "), (F.col("l_suppkey") % 3).cast("string"))
+    return rows.select(
+        F.col("l_suppkey").cast("string").alias(key), F.to_date("since").alias(ts), F.col("class").alias(level), owner.alias(team)
+    )
+
+
+def project_a(spark: SparkSession, sf: str) -> DataFrame:
+    parts = part_history(spark, sf).select(
+        F.col("l_partkey").cast("string").alias("issue_key"), F.to_date("shipped").alias("changed_at"),
+        value_map("flag", STATES).alias("status"), (F.col("l_partkey") % 9).cast("int").alias("story_points"),
+        F.col("link").cast("string").alias("component_key"),
+    )
+    return project_a_risk_history(parts, components(spark, sf, "component_key", "changed_at", "safety_class", "owner_team"))
+
+
+def project_b(spark: SparkSession, sf: str) -> DataFrame:
+    third = F.col("l_partkey") % 3
+    parts = part_history(spark, sf).select(
+        F.col("l_partkey").cast("int").alias("id"), F.to_date("shipped").alias("updated"),
+        value_map("flag", {"A": "closed", "N": "open", "R": "merged"}).alias("state"),
+        F.when(third == 0, "high").when(third == 1, "medium").otherwise("low").alias("priority"),
+        F.col("link").cast("string").alias("area"),
+    )
+    return project_b_risk_history(parts, components(spark, sf, "area", "updated", "classification", "team"))
+
+
+@query("q6_a5_risk_history_published", A_RISK_SQL)
+def risk_a(spark, sf):
+    return publish(project_a(spark, sf), risk_audits(), work_path(spark, "risk"))
+
+
+query("q7_risk_history", B_RISK_SQL)(project_b)
+
+
+@query("q8_f2_silver_risk_history", f"{A_RISK_SQL} UNION ALL {B_RISK_SQL}")
+def risk(spark, sf):
+    # Each model has to have the declared columns and types.
+    return silver_risk_history(project_a(spark, sf), project_b(spark, sf))
+
+
+@query(
+    "q8_repeats_after_folding",
+    f"""SELECT issue_id, valid_from FROM (SELECT *, row(state, effort, component_id, safety_class, owner) AS now,
+          lag(row(state, effort, component_id, safety_class, owner)) OVER (PARTITION BY issue_id ORDER BY valid_from) AS was
+        FROM ({B_RISK_SQL})) WHERE was IS NOT NULL AND now IS NOT DISTINCT FROM was""",
+)
+def folded_repeats(spark, sf):
+    # Two states that count as closed make rows that the audit finds.
+    found = audit_every_row_is_a_change(project_b(spark, sf), "issue_id", "valid_from", PAYLOAD)
+    return found.select("issue_id", "valid_from")

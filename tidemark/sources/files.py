@@ -32,10 +32,12 @@ def read_csv(
     )
 
 
-def read_csv_text(spark: SparkSession, path: str | list[str], columns: Sequence[str]) -> DataFrame:
-    """CSV with a header, every column as text, for a tenant whose formats are parsed later."""
+def read_csv_text(
+    spark: SparkSession, path: str | list[str], columns: Sequence[str], multi_line: bool = False
+) -> DataFrame:
+    """CSV with a header, every column as text, for a tenant whose formats are parsed later; otherwise as `read_csv`."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return read_csv(spark, path, schema)
+    return read_csv(spark, path, schema, multi_line)
 
 
 def read_json(
