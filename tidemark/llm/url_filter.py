@@ -57,7 +57,8 @@ def ruling(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
         )
         for r in rules
     ]
-    return F.array_max(F.array(*fits))
+    none = "array<struct<length:int,rule:string,verdict:string>>"
+    return F.array_max(F.array(*fits).cast(none) if fits else F.array().cast(none))
 
 
 def host_links(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame:
@@ -99,6 +100,7 @@ def propagate(
     )
     state, path = stored(start, "trust")
     if weighted.isEmpty():
+        discard(spark, weighted_path)
         return state
     for _ in range(rounds):
         forward = weighted.join(state, F.col("src") == F.col("host")).select(
