@@ -10,7 +10,8 @@ than n tokens per side, however large the corpus is (`most_pairs`): that bounds
 
 from __future__ import annotations
 
-import os
+import gc
+import json
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -27,17 +28,19 @@ runs_on_executors(__name__)
 SPACE = "▁"
 # Fixed values of the SentencePiece format: kinds of pieces.
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
+# Fixed values of the byte-level format: the words that no token crosses, and how a file says so.
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 # Windows that a task remembers, and the most ids that one of them may have.
-REMEMBERED, LONG = 200_000, 64
+REMEMBERED, LONG = 400_000, 64
 # Characters tokenised at a time, if they are of several texts.
 AT_ONCE = 1 << 20
 SHIFT = 32
 
 
 class Tokenizers(NamedTuple):
-    """The two model files, and the bytes of each token by id."""
+    """B's model file, and the bytes of each token by id."""
 
-    a_file: str
     b_file: bytes
     a_tokens: list[bytes]
     b_tokens: list[bytes]
@@ -53,17 +56,21 @@ def byte_alphabet() -> dict[str, int]:
 def read_tokenizers(a_file: str, b_file: str) -> Tokenizers:
     """Reads both files on the driver; they are sent to the tasks, whose machines need not have them."""
     from sentencepiece import sentencepiece_model_pb2
-    from tokenizers import Tokenizer
 
     with open(a_file, encoding="utf-8") as file:
-        a_text = file.read()
+        a = json.load(file)
     with open(b_file, "rb") as file:
         b_model = file.read()
     alphabet = byte_alphabet()
-    vocabulary = Tokenizer.from_str(a_text).get_vocab(with_added_tokens=False)
+    special = {t["content"] for t in a["added_tokens"]}
+    vocabulary, merges = a["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in a["model"]["merges"]]
+    # The encoder takes ids for the order of the merges, and the words of byte-level vocabularies.
+    made = [vocabulary["".join(m)] for m in merges]
+    if made != sorted(made) or a["pre_tokenizer"] != BYTE_LEVEL or a["normalizer"]:
+        raise ValueError("not a byte-level vocabulary in the order of its merges")
     a_tokens = [b""] * (max(vocabulary.values()) + 1)
     for token, i in vocabulary.items():
-        a_tokens[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else b""
+        a_tokens[i] = b"" if token in special else bytes(alphabet[c] for c in token)
     model = sentencepiece_model_pb2.ModelProto()
     model.ParseFromString(b_model)
     b_tokens = []
@@ -72,7 +79,7 @@ def read_tokenizers(a_file: str, b_file: str) -> Tokenizers:
             b_tokens.append(bytes([int(p.piece[1:-1], 16)]))
         else:
             b_tokens.append(p.piece.replace(SPACE, " ").encode() if p.type in (NORMAL, USER_DEFINED) else b"")
-    return Tokenizers(a_text, b_model, a_tokens, b_tokens)
+    return Tokenizers(b_model, a_tokens, b_tokens)
 
 
 def most_pairs(a_tokens: list[bytes], b_tokens: list[bytes]) -> int:
@@ -84,11 +91,14 @@ def most_pairs(a_tokens: list[bytes], b_tokens: list[bytes]) -> int:
     return longer_a + longer_b - sum(n * b[t] for t, n in a.items() if t)
 
 
-class Window(NamedTuple):
-    """How a window is cut: its groups as text, and the pair of ids that ends each."""
+Key = tuple[bytes, bytes]  # the ids of a window's tokens, of A and of B, as 32-bit numbers
+
+
+class Groups(NamedTuple):
+    """How a text is cut: its groups as text, and the pair of ids that ends each as 64-bit numbers."""
 
     groups: str
-    pairs: list[int]
+    pairs: bytes
 
 
 class Aligner:
@@ -96,69 +106,93 @@ class Aligner:
 
     def __init__(self, tokenizers: Tokenizers):
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.a = Tokenizer.from_str(tokenizers.a_file)
-        # The strings of special tokens are plain text here.
-        self.a.encode_special_tokens = True
+        ranks = {t: i for i, t in enumerate(tokenizers.a_tokens) if t}
+        # Without special tokens: their strings are plain text here.
+        self.a = tiktoken.Encoding("a", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=tokenizers.b_file)
-        self.tables = (tokenizers.a_tokens, tokenizers.b_tokens)
-        self.sizes = tuple(np.array([len(t) for t in tokens], np.int64) for tokens in self.tables)
-        self.spaced = tuple(np.array([t[:1] == b" " for t in tokens], bool) for tokens in self.tables)
-        self.known: dict[tuple[bytes, bytes], Window] = {}
-
-    def tokenise(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-        return a, self.b.encode(texts, num_threads=1)
-
-    def align(self, text: str, a_ids: list[int], b_ids: list[int]) -> Window | None:
-        """The groups of a whole text, or None where the tokens' bytes aren't those of a space and the text."""
-        data = b" " + text.encode()
-        if any(b"".join(map(table.__getitem__, ids)) != data for table, ids in zip(self.tables, (a_ids, b_ids))):
-            return None
-        sides, marks, starts = [], np.zeros(len(data), np.uint8), []
-        for ids, size, spaced in zip((a_ids, b_ids), self.sizes, self.spaced):
-            ids = np.array(ids, np.int32)
-            start = np.cumsum(size[ids]) - size[ids]
+        tables = (tokenizers.a_tokens, tokenizers.b_tokens)
+        self.sizes = tuple(np.array([len(t) for t in tokens], np.int64) for tokens in tables)
+        self.spaced = tuple(np.array([t[:1] == b" " for t in tokens], bool) for tokens in tables)
+        # The bytes of all tokens end to end, and where each token's begin.
+        self.pools = tuple((np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(n) - n) for tokens, n in zip(tables, self.sizes))
+        # What follows an id: within a group, at the end of its A tokens or of the group, at the end of the window.
+        n_a, n_b = map(len, tables)
+        self.shown = [f"{i}{after}" for n, ends in ((n_a, ",|"), (n_b, ",;")) for after in ends for i in range(n)] + [str(i) for i in range(n_b)]
+        self.known: dict[Key, tuple[str, bytes]] = {}  # windows' groups and pairs
+
+    def tokenise(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        a = [np.array(self.a.encode_ordinary(" " + t), np.int32) for t in texts]
+        return a, [np.array(ids, np.int32) for ids in self.b.encode(texts, num_threads=1)]
+
+    def align(self, texts: list[str], a_lists: list[np.ndarray], b_lists: list[np.ndarray]) -> list[Groups | None]:
+        """The groups of each text, or None where its tokens' bytes aren't those of a space and the text."""
+        known = self.known
+        keys = [self._windows(*x) or () for x in zip(texts, a_lists, b_lists)]
+        met = [list(map(known.get, of_text)) for of_text in keys]
+        new = dict.fromkeys(k for of_text, windows in zip(keys, met) if None in windows for k, w in zip(of_text, windows) if w is None)
+        fresh = dict(self._cut(list(new)))
+        found = []
+        for of_text, windows in zip(keys, met):
+            if None in windows:
+                windows = [w or fresh[k] for k, w in zip(of_text, windows)]
+            groups, pairs = zip(*windows) if windows else ((), ())
+            found.append(Groups(";".join(groups), b"".join(pairs)) if windows else None)
+        if len(known) + len(fresh) > REMEMBERED:
+            known.clear()
+        known.update((k, w) for k, w in fresh.items() if len(k[0]) + len(k[1]) <= 4 * LONG)
+        return found
+
+    def _windows(self, text: str, a_ids: np.ndarray, b_ids: np.ndarray) -> list[Key] | None:
+        data = np.frombuffer(b" " + text.encode(), np.uint8)
+        marks, starts = np.zeros(len(data), np.uint8), []
+        for ids, size, spaced, (pool, at) in zip((a_ids, b_ids), self.sizes, self.spaced, self.pools):
+            sizes = size[ids]
+            start = np.cumsum(sizes) - sizes
+            if not len(ids) or start[-1] + sizes[-1] != len(data):
+                return None
+            # Each byte of the text beside the byte of the token that covers it.
+            if (pool[np.repeat(at[ids] - start, sizes) + np.arange(len(data))] != data).any():
+                return None
             marks[start[spaced[ids]]] += 1
-            sides.append(ids.tobytes())
             starts.append(start)
         # Tokens of both sides begin here with a space; what comes before ends here on both sides, as their bytes are equal.
         anchors = np.flatnonzero(marks == 2)
         if not len(anchors) or anchors[0]:
             anchors = np.concatenate([[0], anchors])
-        a_cuts, b_cuts = (np.append(np.searchsorted(s, anchors), len(s)) * 4 for s in starts)
-        known, groups, pairs = self.known, [], []
-        a_bytes, b_bytes = sides
-        a_cuts, b_cuts = a_cuts.tolist(), b_cuts.tolist()
-        a_at, b_at = a_cuts[0], b_cuts[0]
-        for a_end, b_end in zip(a_cuts[1:], b_cuts[1:]):
-            key = (a_bytes[a_at:a_end], b_bytes[b_at:b_end])
-            window = known.get(key)
-            if window is None:
-                window = self._window(key)
-            groups.append(window.groups)
-            pairs.extend(window.pairs)
-            a_at, b_at = a_end, b_end
-        return Window(";".join(groups), pairs)
-
-    def _window(self, key: tuple[bytes, bytes]) -> Window:
-        a_ids, b_ids = (np.frombuffer(ids, np.int32) for ids in key)
-        a_ends, b_ends = np.cumsum(self.sizes[0][a_ids]), np.cumsum(self.sizes[1][b_ids])
-        _, a_last, b_last = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
-        a_ids, b_ids, groups, pairs = a_ids.tolist(), b_ids.tolist(), [], []
-        a_at = b_at = 0
-        for i, j in zip(a_last.tolist(), b_last.tolist()):
-            groups.append(",".join(map(str, a_ids[a_at : i + 1])) + "|" + ",".join(map(str, b_ids[b_at : j + 1])))
-            pairs.append(a_ids[i] << SHIFT | b_ids[j])
-            a_at, b_at = i + 1, j + 1
-        window = Window(";".join(groups), pairs)
-        if len(a_ids) + len(b_ids) <= LONG:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[key] = window
-        return window
+        a_cuts, b_cuts = ((np.append(np.searchsorted(s, anchors), len(s)) * 4).tolist() for s in starts)
+        a, b = a_ids.tobytes(), b_ids.tobytes()
+        return [(a[i:j], b[k:m]) for i, j, k, m in zip(a_cuts, a_cuts[1:], b_cuts, b_cuts[1:])]
+
+    def _cut(self, keys: list[Key]) -> Iterator[tuple[Key, tuple[str, bytes]]]:
+        """Cuts windows, all at once: laid end to end, both sides of each cover the same bytes."""
+        if not keys:
+            return
+        a, b = (np.frombuffer(b"".join([k[side] for k in keys]), np.int32).astype(np.int64) for side in (0, 1))
+        a_ends, b_ends = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        at = np.searchsorted(a_ends, b_ends)
+        b_last = np.flatnonzero(a_ends[at] == b_ends)
+        a_last = at[b_last]
+        pairs = (a[a_last] << SHIFT | b[b_last]).tobytes()
+        # The ids as they are shown: of each group its A tokens and then its B tokens.
+        n_a, n_b = map(len, self.sizes)
+        a_group, b_group = (np.cumsum(np.bincount(last + 1, minlength=len(ids) + 1)[:-1]) for ids, last in ((a, a_last), (b, b_last)))
+        order = np.empty(len(a) + len(b), np.int64)
+        a_shown, b_shown = a.copy(), b + 2 * n_a
+        a_shown[a_last] += n_a
+        b_shown[b_last] += n_b
+        window_ends = np.cumsum([len(k[1]) // 4 for k in keys])
+        b_shown[window_ends - 1] += n_b
+        order[np.arange(len(a)) + np.concatenate([[0], b_last + 1])[a_group]] = a_shown
+        order[np.arange(len(b)) + a_last[b_group] + 1] = b_shown
+        shown = list(map(self.shown.__getitem__, order.tolist()))
+        n_shown = (np.cumsum([len(k[0]) // 4 for k in keys]) + window_ends).tolist()
+        n_groups = (np.searchsorted(b_last, window_ends - 1) + 1).tolist()
+        from_shown = from_group = 0
+        for key, to_shown, to_group in zip(keys, n_shown, n_groups):
+            yield key, ("".join(shown[from_shown:to_shown]), pairs[8 * from_group : 8 * to_group])
+            from_shown, from_group = to_shown, to_group
 
 
 def _parts(texts: list[str], at_once: int) -> Iterator[list[str]]:
@@ -188,16 +222,19 @@ def align(documents: DataFrame, tokenizers: Tokenizers, doc_id: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(shared.value)
+        # Nothing here refers to itself, and the collector would look through all windows time and again.
+        gc.disable()
         none = np.zeros(0, np.int64)
         for batch in batches:
             n_a, n_b, groups, pairs, times = [], [], [], [], []
             for part in _parts([t or "" for t in batch.column(1).to_pylist()], AT_ONCE):
-                for t, a_ids, b_ids in zip(part, *aligner.tokenise(part)):
-                    found = aligner.align(t, a_ids, b_ids) if t else None
+                a_lists, b_lists = aligner.tokenise(part)
+                for t, a_ids, b_ids, found in zip(part, a_lists, b_lists, aligner.align(part, a_lists, b_lists)):
+                    found = found if t else None
                     n_a.append(len(a_ids) if found else 0)
                     n_b.append(len(b_ids) if found else 0)
                     groups.append(found.groups if found else "")
-                    which, often = np.unique(np.array(found.pairs, np.int64), return_counts=True) if found else (none, none)
+                    which, often = np.unique(np.frombuffer(found.pairs, np.int64), return_counts=True) if found else (none, none)
                     pairs.append(which)
                     times.append(often)
             ends = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
