@@ -83,7 +83,8 @@ def temporal_join(
     held = _held(lefts, keys, left_cuts)
     differs = lambda now, was: ~(was.isNotNull() & _unchanged(now, was, right, right_ts))
     points = _points(held.where(linked), links)
-    answered = _numbered(rights, points, links, "rhs", differs, link_cuts)
+    # Read for each kind of look-up from here on, and no larger than the two histories' points in time.
+    answered = written(_numbered(rights, points, links, "rhs", differs, link_cuts), "answered")
     at_points = answered.where(F.col("_side") == 1)
     news = answered.where((F.col("_side") == 0) & F.col("_new")).select(
         *links, "ts", "_n", F.col("_in")["row"].alias("rhs")
