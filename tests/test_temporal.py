@@ -14,6 +14,7 @@ from tests.histories import (
 )
 from tidemark.operators import temporal
 from tidemark.operators.temporal import changes_only, periods, temporal_join, temporal_join_theta
+from tidemark.session import written
 
 ON = [("component_key", "component_key")]
 
@@ -213,3 +214,16 @@ def test_periods_and_changes(spark, monkeypatch, hot):
     got = periods(kept, "k", "d", F.lit(date(2026, 1, 10)))
     assert sorted((r.k, r.d.day, r.valid_to and r.valid_to.day, r.days) for r in got.collect()) == [
         ("a", 1, 6, 5), ("a", 6, 9, 3), ("a", 9, None, 1), ("b", 3, None, 7)]
+
+
+def broadcasts(frame):
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_histories_are_not_sent_through_the_driver(spark):
+    # The files are far smaller than the limit below which Spark would broadcast what they hold.
+    left, right = (written(frame, "history") for frame in golden(spark))
+    got = temporal_join(left, right, "changed_at", "changed_at", "issue_key", ON)
+    assert broadcasts(got) == 0
+    assert flat(got) == JOINED

@@ -92,7 +92,7 @@ def temporal_join(
 
     now = F.col("_in")["new"] & (F.col("_in")["since"] == F.col("ts"))
     looked = held.join(
-        at_points.select(*links, "ts", F.col("_in")["row"].alias("rhs"), now.alias("_now"), "_n"),
+        _large(at_points.select(*links, "ts", F.col("_in")["row"].alias("rhs"), now.alias("_now"), "_n")),
         [*links, "ts"],
         "left",
     )
@@ -251,7 +251,16 @@ def _until_end(starting: DataFrame, at_points: DataFrame, news: DataFrame, links
     )
     ends = ends.select(*[F.col(c).alias(f"_e{c}") for c in links], F.col("ts").alias("_at"), "_upto")
     same = [F.col(c) == F.col(f"_e{c}") for c in links]
-    return starting.join(ends, all_of([*same, F.col("_end").eqNullSafe(F.col("_at"))]))
+    return starting.join(_large(ends), all_of([*same, F.col("_end").eqNullSafe(F.col("_at"))]))
+
+
+def _large(frame: DataFrame) -> DataFrame:
+    """For the side of a join that grows with the histories: joined by a sort, never sent to all tasks.
+
+    Spark takes a table's size from its Parquet files, which can hold links, times and numbers in a tenth of the memory that
+    the rows take, and would send tables of millions of rows through the driver.
+    """
+    return frame.hint("merge")
 
 
 def _each_block(frame: DataFrame, first: Column, last: Column) -> DataFrame:
@@ -276,7 +285,7 @@ def _meet(holding: DataFrame, news: DataFrame, links: list[str]) -> DataFrame:
     some = holding.where(F.col("_upto") > F.col("_after"))
     reaching = _each_block(some, _block_of(F.col("_after") + 1), _block_of(F.col("_upto")))
     dealt = news.withColumn("_block", _block_of(F.col("_n")))
-    met = reaching.join(dealt, [*links, "_block"])
+    met = reaching.join(_large(dealt), [*links, "_block"])
     return met.where((F.col("_n") > F.col("_after")) & (F.col("_n") <= F.col("_upto")))
 
 
