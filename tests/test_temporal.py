@@ -227,3 +227,18 @@ def test_histories_are_not_sent_through_the_driver(spark):
     got = temporal_join(left, right, "changed_at", "changed_at", "issue_key", ON)
     assert broadcasts(got) == 0
     assert flat(got) == JOINED
+
+
+def test_matching_does_not_send_histories_through_the_driver(spark, monkeypatch):
+    planned = []
+
+    def noted(frame, name):
+        planned.append(frame._jdf.queryExecution().executedPlan().toString())
+        return written(frame, name)
+
+    monkeypatch.setattr(temporal, "written", noted)
+    left, right = (written(frame, "history") for frame in golden(spark))
+    meets = lambda l, r: (l("status") != "Done") | (r("safety_class") == "C")
+    got = temporal_join_theta(left, right, "changed_at", "changed_at", "issue_key", ON, meets, ["status"])
+    assert broadcasts(got) == 0
+    assert len(planned) >= 4 and not any("Broadcast" in plan for plan in planned)

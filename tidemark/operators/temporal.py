@@ -336,7 +336,7 @@ def _matched(
     at_points, seen = numbered.where("_side = 1"), numbered.where("_side = 0")
     blocks = seen.select(*links, _block_of(F.col("_n")).alias("_block"), "_n", F.col("_in")["row"].alias("rhs"))
     starting = held.select(*value, "lhs", "ts", "_end").join(
-        at_points.select(*links, "ts", F.col("_n").alias("_after")), [*links, "ts"]
+        _large(at_points.select(*links, "ts", F.col("_n").alias("_after"))), [*links, "ts"]
     ).drop("ts")
     rows = seen.select(*links, "ts", "_n")
     holding = _until_end(starting, at_points, rows, links)
@@ -367,7 +367,7 @@ def _matched(
         "runs",
     )
     holds = condition(lambda c: F.col("lhs")[names[c]], lambda c: F.col("rhs")[c])
-    meet = lambda some, low, high: _each_block(some, low, high).join(blocks, [*links, "_block"]).where(holds)
+    meet = lambda some, low, high: _each_block(some, low, high).join(_large(blocks), [*links, "_block"]).where(holds)
     shown = [*[F.col("rhs")[c].alias(c) for c in right.columns], *texts]
     matched = meet(runs.where("_covered"), F.col("_from"), F.col("_to")).select(*shown)
     # Before a run that is covered lies one that isn't, or another that is: its last match is what holds when the run begins.
@@ -383,7 +383,7 @@ def _matched(
         last_match = written(last_match, "last")
         matched = matched.unionByName(last_match.select(*shown))
         gaps = written(
-            gaps.where(low > F.col("_from")).withColumn("_upto", low - 1).join(last_match, [*value, "_to"], "left_anti"), "gaps"
+            gaps.where(low > F.col("_from")).withColumn("_upto", low - 1).join(_large(last_match), [*value, "_to"], "left_anti"), "gaps"
         )
         width *= 2
     return written(matched, "matched")
