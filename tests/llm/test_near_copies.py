@@ -103,3 +103,25 @@ def test_tiles_give_the_same_groups(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert {r.doc_id for r in simhash.one_each(docs, tile=2000).collect()} == want
     assert {r.doc_id for r in simhash.one_each(docs).collect()} == want
+
+
+def test_linked_fingerprints_propose_pairs(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefgh", k=8))
+    texts, want = [], set()
+    for _ in range(20):
+        words = [word() for _ in range(600)]
+        want.add(len(texts))
+        texts += [" ".join(words), " ".join(words[:-1] + [word()])]
+    # Nearly all shingles are repeats of a few, so the fingerprints are equal; the sets share fewer than 0.8.
+    common = " ".join(["one two three"] * 400)
+    apart = [f"{common} {word()}" for _ in range(2)]
+    assert len({simhash.fingerprint(t) for t in apart}) == 1
+    want |= {len(texts), len(texts) + 1}
+    docs = spark.createDataFrame(list(enumerate(texts + apart)), "doc_id bigint, text string")
+    near = {i for i in range(0, 40, 2) if (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[i + 1])).bit_count() <= 2}
+    assert len(near) >= 10
+    # Without bands the links between fingerprints are all that proposes pairs.
+    kept = {r.doc_id for r in simhash.one_each(docs, n_bands=0).collect()}
+    assert kept == want | {i + 1 for i in range(0, 40, 2) if i not in near}
+    assert {r.doc_id for r in simhash.one_each(docs).collect()} == want

@@ -11,7 +11,8 @@ bits that it doesn't share yet, so no task gets a group without bound.
 A shard answers with a link to one representative per local component, not with all pairs.
 
 Near copies by similarity (`similar`) need more than a fingerprint: at 0.8 two of them differ in 4 to over 14 bits, and
-so do those of texts at 0.6. Texts are dealt to shards by pairs of minima of their shingles' hashes: two texts with a
+so do those of texts at 0.6. Texts with linked fingerprints are a shard. For the pairs that are farther apart, texts are dealt
+to further shards by pairs of minima of their shingles' hashes: two texts with a
 similarity of s share one pair with a probability of s * s, and one of `BANDS` with 1 - (1 - s * s) ** BANDS, 0.9997 for
 0.8. An edge is one whose two sets of shingle hashes have the similarity, counted exactly. Pairs that edges connect
 already aren't compared. A shard is cut to tiles of bounded size, so no task gets a group without bound.
@@ -296,24 +297,31 @@ def similar(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, keys, fps = [], [], [], []
             for t in batch.column(2):
-                hashes = np.unique(shingle_hashes(t.as_py(), words))
+                t = t.as_py()
+                hashes = np.unique(shingle_hashes(t, words))
+                fps.append(_signed(fingerprint(t)))
                 nodes.append(set_number(hashes))
                 sizes.append(len(hashes))
                 keys.append(bands(hashes, n_bands) if len(hashes) else [])
-            columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            columns = [*(pa.array(x, pa.int64()) for x in (nodes, sizes, fps)), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *columns], names=["doc_id", "content", "node", "n_shingles", "bands"]
+                [batch.column(0), batch.column(1), *columns], names=["doc_id", "content", "node", "n_shingles", "fp", "bands"]
             )
 
     spark = documents.sparkSession
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("content"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     seen, _ = stored(
-        rows.mapInArrow(run, f"doc_id {kind}, content bigint, node bigint, n_shingles bigint, bands array<bigint>"), "similar"
+        rows.mapInArrow(run, f"doc_id {kind}, content bigint, node bigint, n_shingles bigint, fp bigint, bands array<bigint>"),
+        "similar",
     )
-    dealt = seen.select("node", "n_shingles", F.posexplode("bands").alias("band", "key")).distinct()
+    # Texts whose fingerprints are linked share a shard, and so do those that share a band.
+    nodes = seen.where("n_shingles > 0").select("node", "n_shingles", "fp").distinct()
+    near, near_path = stored(components(links(nodes.select("fp").distinct())), "near")
+    linked = _rooted(nodes, near, "fp", "key").select("node", "n_shingles", F.lit(-1).alias("band"), "key")
+    dealt = seen.select("node", "n_shingles", F.posexplode("bands").alias("band", "key")).unionByName(linked).distinct()
     # A shard of one node links nothing.
     shared = dealt.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
     dealt, dealt_path = stored(
@@ -344,7 +352,7 @@ def similar(
     )
     edges = edges.unionByName(_joined_tiles(_tiles(members, tile), sets, similarity))
     roots = components(edges)
-    for path in (dealt_path, sets_path, pairs_path, edges_path, more_path, members_path):
+    for path in (near_path, dealt_path, sets_path, pairs_path, edges_path, more_path, members_path):
         discard(spark, path)
     return seen.join(roots, "node", "left").select("doc_id", "content", F.coalesce("root", "node").alias("group"))
 
