@@ -37,7 +37,9 @@ def test_the_audit_of_folded_repeats_reads_files(spark, lines, monkeypatch):
     assert len(read) == 1 and "Join" not in read[0] and "Window" not in read[0]
 
 
-@pytest.mark.parametrize("name", ["q8_repeats_after_folding", "a1_a3_audits_of_the_join", "q17_time_in_state"])
+@pytest.mark.parametrize("name", [
+    "q8_repeats_after_folding", "a1_a3_audits_of_the_join", "q17_time_in_state", "q6_a5_risk_history_published",
+])
 def test_no_history_goes_through_the_driver(spark, lines, name, monkeypatch):
     made = []
 
