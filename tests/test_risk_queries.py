@@ -38,7 +38,7 @@ def test_the_audit_of_folded_repeats_reads_files(spark, lines, monkeypatch):
 
 
 @pytest.mark.parametrize("name", [
-    "q8_repeats_after_folding", "a1_a3_audits_of_the_join", "q17_time_in_state", "q6_a5_risk_history_published",
+    "q8_repeats_after_folding", "a1_a3_audits_of_the_join", "q17_time_in_state", "q6_a5_risk_history_published", "q7_risk_history",
 ])
 def test_no_history_goes_through_the_driver(spark, lines, name, monkeypatch):
     made = []
