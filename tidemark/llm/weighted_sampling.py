@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,37 +29,57 @@ from tidemark.session import runs_on_executors
 runs_on_executors(__name__)
 
 SAMPLES, SEED = 128, 42
-# (term, weight) pairs whose draws a task remembers, and those worked on at a time.
-REMEMBERED, PART = 100_000, 2_048
+# (term, weight) pairs whose draws a task remembers, those of a text and those of a group of texts that are looked up at a time, and those
+# drawn at a time, which fit into a CPU's cache.
+REMEMBERED, PART, GROUP, DRAWN = 250_000, 2_048, 8_192, 512
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """In place."""
+    shifted = x >> np.uint64(30)
+    x ^= shifted
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= np.right_shift(x, np.uint64(27), out=shifted)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= np.right_shift(x, np.uint64(31), out=shifted)
+    return x
 
 
-def _uniform(x: np.ndarray) -> np.ndarray:
-    """In (0, 1), from the upper 24 of 32 bits."""
-    return ((x.astype(np.uint32) >> np.uint32(8)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-24)
+def _uniform(bits: np.ndarray) -> np.ndarray:
+    """In (0, 1), from 24 bits."""
+    # Signed numbers become floating ones faster.
+    u = bits.astype(np.uint32, copy=False).view(np.int32).astype(np.float32)
+    u += np.float32(0.5)
+    u *= np.float32(2**-24)
+    return u
 
 
 def draws(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray]:
     """(what the sample minimises, 16 bits of the sample) per term hash and sample."""
     key = terms[:, None] + np.arange(samples, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)
-    bits = [_mix(key ^ np.uint64(0xD1B54A32D192ED03 * i % 2**64)) for i in range(1, 4)]
-    high = np.uint64(32)
-    r = -np.log(_uniform(bits[0]) * _uniform(bits[0] >> high))
-    c = -np.log(_uniform(bits[1]) * _uniform(bits[1] >> high))
-    b = _uniform(bits[2])
-    s = np.zeros(key.shape, np.float32)
+    drawn = lambda i: _mix(key ^ np.uint64(0xD1B54A32D192ED03 * i % 2**64))
+    # The upper 24 of the lower and of the upper 32 bits.
+    low = lambda bits: _uniform(bits.astype(np.uint32) >> np.uint32(8))
+
+    def gamma(bits: np.ndarray) -> np.ndarray:
+        g = low(bits)
+        bits >>= np.uint64(40)
+        g *= _uniform(bits)
+        np.log(g, out=g)
+        return np.negative(g, out=g)
+
+    r, cost, b = gamma(drawn(1)), gamma(drawn(2)), low(drawn(3))
+    np.log(cost, out=cost)
+    mark = np.repeat((terms >> np.uint64(48)).astype(np.uint16)[:, None], samples, axis=1)
     # The logarithm of the weight one is zero, and s too.
     several = np.flatnonzero(weights > 1)
-    if len(several):
-        s[several] = np.floor(np.log(weights[several].astype(np.float32))[:, None] / r[several] + b[several])
-    cost = np.log(c) - r * (s - b + 1)
-    mark = np.repeat((terms >> np.uint64(48)).astype(np.uint16)[:, None], samples, axis=1)
-    mark[several] ^= (_mix(s[several].astype(np.int64).astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+    s = np.floor(np.log(weights[several].astype(np.float32))[:, None] / r[several] + b[several])
+    mark[several] ^= (_mix(s.astype(np.int64).astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+    np.negative(b, out=b)
+    b[several] += s
+    b += np.float32(1)
+    b *= r
+    cost -= b
     return cost, mark
 
 
@@ -66,52 +87,89 @@ class Sampler:
     """Fingerprints texts, and remembers the draws of the terms that it met last."""
 
     def __init__(self, samples: int = SAMPLES):
-        self.samples = samples
-        self._clear()
-
-    def _clear(self):
-        self.rows: dict[tuple[bytes, int], int] = {}
-        self.cost = np.zeros((0, self.samples), np.float32)
-        self.mark = np.zeros((0, self.samples), np.uint16)
-
-    def _rows(self, pairs: list[tuple[bytes, int]]) -> list[int]:
-        new = [p for p in pairs if p not in self.rows]
-        if new:
-            if len(self.rows) + len(new) > REMEMBERED:
-                self._clear()
-                new = pairs
-            n = len(self.rows)
-            if n + len(new) > len(self.cost):
-                more = max(n + len(new), 2 * len(self.cost), 4096)
-                for name in ("cost", "mark"):
-                    old = getattr(self, name)
-                    grown = np.zeros((more, self.samples), old.dtype)
-                    grown[:n] = old[:n]
-                    setattr(self, name, grown)
-            terms = np.array([xxhash.xxh64_intdigest(t, SEED) for t, _ in new], np.uint64)
-            cost, mark = draws(terms, np.array([w for _, w in new], np.int64), self.samples)
-            self.cost[n : n + len(new)], self.mark[n : n + len(new)] = cost, mark
-            self.rows.update(zip(new, range(n, n + len(new))))
-        return [self.rows[p] for p in pairs]
+        self.samples, self.k = samples, np.arange(samples)
+        # Of a pair of weight one the term alone, which is found faster.
+        self.rows: dict[bytes | tuple[bytes, int], int] = {}
+        self.cost = np.zeros((0, samples), np.float32)
+        self.mark = np.zeros((0, samples), np.uint16)
+
+    def _find(self, pairs: list[bytes | tuple[bytes, int]]) -> np.ndarray:
+        return np.fromiter(map(self.rows.get, pairs, repeat(-1)), np.int64, len(pairs))
+
+    def _rows(self, pairs: list[bytes | tuple[bytes, int]]) -> np.ndarray:
+        at = self._find(pairs)
+        found = list(dict.fromkeys(pairs[i] for i in np.flatnonzero(at < 0).tolist()))
+        if not found:
+            return at
+        if len(self.rows) + len(found) > REMEMBERED:
+            self.rows.clear()
+            found = list(dict.fromkeys(pairs))
+        n = len(self.rows)
+        to = n + len(found)
+        if to > len(self.cost):
+            more = max(to, min(2 * len(self.cost), REMEMBERED), 4096)
+            for name in ("cost", "mark"):
+                old = getattr(self, name)
+                grown = np.zeros((more, self.samples), old.dtype)
+                grown[:n] = old[:n]
+                setattr(self, name, grown)
+        terms = np.array([xxhash.xxh64_intdigest(p if isinstance(p, bytes) else p[0], SEED) for p in found], np.uint64)
+        weights = np.array([1 if isinstance(p, bytes) else p[1] for p in found], np.int64)
+        for i in range(0, len(found), DRAWN):
+            these = slice(n + i, min(n + i + DRAWN, to))
+            self.cost[these], self.mark[these] = draws(terms[i : i + DRAWN], weights[i : i + DRAWN], self.samples)
+        self.rows.update(zip(found, range(n, to)))
+        return self._find(pairs)
+
+    def _smallest(self, rows: np.ndarray) -> np.ndarray:
+        """Per sample the row with the smallest cost, of several the first."""
+        cost = self.cost.take(rows, axis=0)
+        hits = np.flatnonzero(cost == cost.min(axis=0))
+        # An equal cost is rare, and `argmin` takes longer.
+        if len(hits) != self.samples:
+            return rows[cost.argmin(axis=0)]
+        at = np.empty(self.samples, np.int64)
+        at[hits % self.samples] = rows[hits // self.samples]
+        return at
+
+    def _sampled(self, parts: list[tuple[int, list]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each part of a text's pairs: the text's number, and the costs and marks of its samples."""
+        rows = self._rows([p for _, pairs in parts for p in pairs])
+        begin = 0
+        for i, pairs in parts:
+            at = self._smallest(rows[begin : begin + len(pairs)])
+            begin += len(pairs)
+            yield i, self.cost[at, self.k], self.mark[at, self.k]
+
+    def fingerprints(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        """For each text `samples` numbers of 16 bits; all zero for one without words, null and empty ones too."""
+        found, best = [], {}
+
+        def take(parts):
+            # Of equal costs the smaller mark counts, so that the order of the words doesn't.
+            for i, cost, mark in self._sampled(parts):
+                if i in best:
+                    better = (cost < best[i]) | (cost == best[i]) & (mark < found[i])
+                    cost, mark = np.where(better, cost, best[i]), np.where(better, mark, found[i])
+                best[i], found[i] = cost, mark
+
+        parts, size = [], 0
+        for i, text in enumerate(texts):
+            words = Counter((text or "").lower().encode("utf-8", "replace").split())
+            pairs = [t if w == 1 else (t, w) for t, w in words.items()]
+            found.append(np.zeros(self.samples, np.uint16))
+            for at in range(0, len(pairs), PART):
+                parts.append((i, pairs[at : at + PART]))
+                size += len(parts[-1][1])
+                if size >= GROUP:
+                    take(parts)
+                    parts, size = [], 0
+        if parts:
+            take(parts)
+        return found
 
     def fingerprint(self, text: str | None) -> np.ndarray:
-        """`samples` numbers of 16 bits; all zero for a text without words, null and empty ones too."""
-        pairs = list(Counter((text or "").lower().encode("utf-8", "replace").split()).items())
-        if not pairs:
-            return np.zeros(self.samples, np.uint16)
-        best = marks = None
-        k = np.arange(self.samples)
-        # Of equal costs the smaller mark counts, so that the order of the words doesn't.
-        for i in range(0, len(pairs), PART):
-            rows = np.array(self._rows(pairs[i : i + PART]))
-            at = rows[self.cost[rows].argmin(axis=0)]
-            cost, mark = self.cost[at, k], self.mark[at, k]
-            if best is None:
-                best, marks = cost, mark
-            else:
-                better = (cost < best) | (cost == best) & (mark < marks)
-                best, marks = np.where(better, cost, best), np.where(better, mark, marks)
-        return marks
+        return self.fingerprints([text])[0]
 
 
 def _hex(fp: np.ndarray) -> str:
@@ -131,7 +189,8 @@ def fingerprints(documents: DataFrame, text: str = "text", to: str = "fingerprin
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(samples)
         for batch in batches:
-            found = [_hex(sampler.fingerprint(t.as_py())) for t in batch.column(batch.schema.get_field_index(text))]
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            found = [_hex(fp) for fp in sampler.fingerprints(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, to])
 
     return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(to, T.StringType())]))
@@ -182,19 +241,18 @@ def edits(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", samp
         sampler = Sampler(samples)
         held = None
         for batch in batches:
-            out = []
-            for at, key, words, kept in zip(*(batch.column(i) for i in range(4))):
-                at, key, words, kept = at.as_py(), key.as_py(), words.as_py(), kept.as_py()
-                fp = sampler.fingerprint(words)
+            rows = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
+            followers = []
+            for (at, key, words, kept), fp in zip(rows, sampler.fingerprints(row[2] for row in rows)):
                 if held is not None and held[0] == at:
                     _, old_key, old, old_fp = held
                     n = len(old) // 3
-                    edited = old[: len(old) - n] + words[:n]
-                    new = sampler.fingerprint(edited)
-                    out.append(
-                        (old_key, len(old), edited, _hex(old_fp), _hex(new), likeness(old_fp, new), likeness(old_fp, fp))
-                    )
+                    followers.append((old_key, old, old[: len(old) - n] + words[:n], old_fp, fp))
                 held = (at, key, words, fp) if kept else None
+            out = [
+                (key, len(old), edited, _hex(old_fp), _hex(new), likeness(old_fp, new), likeness(old_fp, fp))
+                for (key, old, edited, old_fp, fp), new in zip(followers, sampler.fingerprints(f[2] for f in followers))
+            ]
             yield pa.RecordBatch.from_pylist([dict(zip(result.names, r)) for r in out], schema=result)
 
     kind = dict(documents.dtypes)[doc_id]
