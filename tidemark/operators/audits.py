@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import any_of, distinct_from
-from tidemark.operators.slices import AUTO, Cuts, sliced
+from tidemark.operators.slices import AUTO, Cuts, find_cuts, sliced
 from tidemark.sinks import versions
 
 
@@ -39,14 +39,17 @@ def audit_every_row_is_a_change(
     cuts: Cuts | None = AUTO,
 ) -> DataFrame:
     """Rows whose payload equals that of the item's previous row."""
-    thin = frame.select(key, ts, F.struct(ts, *[F.col(c).alias(f"p_{c}") for c in payload]).alias("_now"))
+    if cuts is AUTO:
+        cuts = find_cuts(frame, [key], ts)
+    columns = [f"_p_{c}" for c in payload]
+    thin = frame.select(key, ts, *[F.col(c).alias(p) for c, p in zip(payload, columns)])
+    # Only a carry row needs the row before as one value.
+    thin = thin.withColumn("_now", F.struct(ts, *columns)) if cuts else thin
     s = sliced(thin, [key], [ts], ["_now"], cuts)
-    was = F.lag("_now").over(s.window())
-    changed = any_of(
-        distinct_from(F.col("_now")[f"p_{c}"], was[f"p_{c}"]) for c in payload
-    )
+    was = lambda c: F.lag("_now").over(s.window())[c] if s.split else F.lag(c).over(s.window())
+    changed = any_of(distinct_from(p, was(p)) for p in columns)
     return (
-        s.done(s.rows.withColumn("previous", was[ts]).withColumn("_changed", changed))
+        s.done(s.rows.withColumn("previous", was(ts)).withColumn("_changed", changed))
         .where(~F.col("_changed") & F.col("previous").isNotNull())
         .select(key, ts, "previous")
     )

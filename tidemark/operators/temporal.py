@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import all_of, any_of, distinct_from
 from tidemark.operators import slices
 from tidemark.operators.slices import AUTO, Cuts, find_cuts, running_sum, sliced
-from tidemark.session import written
+from tidemark.session import discard, stored, written
 
 
 NEWS_PER_BLOCK = 64
@@ -46,6 +46,9 @@ def temporal_join(
     or ends, which right row is in effect and how many news there were. So each left row meets just
     the news between its two numbers. No version row is joined with another history's version rows.
 
+    Each step is written before the next one, so that a step's shuffle is all that the disks hold beside the tables at hand, and
+    tables go when the last step that reads them has ended. The result reads what is written here, not left or right.
+
     Args:
         left: The items' history, unique on (key, left_ts).
         right: The history pointed to, unique on (right columns of `on`, right_ts).
@@ -59,12 +62,14 @@ def temporal_join(
     _check(left, right, left_ts, right_ts, keys, on)
     links = [f"_link{i}" for i in range(len(on))]
 
+    # Left rows go through the shuffles as plain columns, each once: a struct beside its own columns would double them.
+    names = _named(left, left_ts, on, links)
     lefts = left.select(
-        *keys,
-        F.col(left_ts).alias("ts"),
-        *[F.col(a).alias(link) for (a, _), link in zip(on, links)],
-        F.struct(*left.columns).alias("lhs"),
-    ).where(all_of(F.col(c).isNotNull() for c in [*keys, "ts"]))
+        *[F.col(c).alias(n) for c, n in names.items()],
+        *[F.col(a).alias(link) for (a, _), link in zip(on, links) if names[a] != link],
+    )
+    items = [names[c] for c in keys]
+    lefts = lefts.where(all_of(F.col(c).isNotNull() for c in [*items, "ts"]))
     rights = right.select(
         *[F.col(b).alias(link) for (_, b), link in zip(on, links)],
         F.col(right_ts).alias("ts"),
@@ -78,34 +83,38 @@ def temporal_join(
     if lefts.select("ts").unionAll(rights.select("ts")).count() > limit:
         points = lefts.where(linked).select(*links, "ts").unionByName(rights.select(*links, "ts"))
         link_cuts = find_cuts(points, links, "ts", limit)
-        left_cuts = find_cuts(lefts, keys, "ts", limit)
+        left_cuts = find_cuts(lefts, items, "ts", limit)
 
-    held = _held(lefts, keys, left_cuts)
+    spark = left.sparkSession
+    held, held_path = stored(_held(lefts, items, [n for n in names.values() if n != "ts"], left_cuts), "held")
     differs = lambda now, was: ~(was.isNotNull() & _unchanged(now, was, right, right_ts))
-    points = _points(held.where(linked), links)
+    points, points_path = stored(_points(held.where(linked), links), "points")
     # Read for each kind of look-up from here on, and no larger than the two histories' points in time.
-    answered = written(_numbered(rights, points, links, "rhs", differs, link_cuts), "answered")
+    answered, answered_path = stored(_numbered(rights, points, links, "rhs", differs, link_cuts), "answered")
+    discard(spark, points_path)
     at_points = answered.where(F.col("_side") == 1)
-    news = answered.where((F.col("_side") == 0) & F.col("_new")).select(
-        *links, "ts", "_n", F.col("_in")["row"].alias("rhs")
-    )
+    news = answered.where((F.col("_side") == 0) & F.col("_new"))
+    news = written(news.select(*links, "ts", "_n", F.col("_in")["row"].alias("rhs")), "news")
 
     now = F.col("_in")["new"] & (F.col("_in")["since"] == F.col("ts"))
-    looked = held.join(
-        _large(at_points.select(*links, "ts", F.col("_in")["row"].alias("rhs"), now.alias("_now"), "_n")),
-        [*links, "ts"],
-        "left",
-    )
-    own_change = (
-        F.col("_was").isNull()
-        | F.coalesce("_now", F.lit(False))
-        | ~_unchanged(F.col("lhs"), F.col("_was"), left, left_ts)
+    starts = at_points.where(_BEGINS).select(*links, "ts", F.col("_in")["row"].alias("rhs"), now.alias("_now"), "_n")
+    looked = held.join(_large(starts), [*links, "ts"], "left").select(
+        *lefts.columns, "_end", (F.col("_own") | F.coalesce("_now", F.lit(False))).alias("_own"), "rhs", F.col("_n").alias("_after")
     )
-    own = looked.where(own_change).select(*keys, "ts", "lhs", "rhs")
+    looked = written(looked, "looked")
+    discard(spark, held_path)
+
+    starting = looked.where(linked).drop("_own", "rhs").withColumnRenamed("ts", "_since")
+    holding = _until_end(starting, at_points, news, links).where(F.col("_upto") > F.col("_after"))
+    holding = written(holding.select(*starting.drop("_end").columns, "_upto"), "holding")
+    discard(spark, answered_path)
+    met = _meet(holding, news, links)
+
+    def shown(frame: DataFrame, since: str) -> DataFrame:
+        lhs = F.struct(*[F.col(since if c == left_ts else names[c]).alias(c) for c in left.columns])
+        return frame.select(*[F.col(names[c]).alias(c) for c in keys], "ts", lhs.alias("lhs"), "rhs")
 
-    starting = looked.where(linked).select(*keys, *links, "lhs", "_end", F.col("_n").alias("_after"))
-    holding = _until_end(starting, at_points, news, links)
-    return own.unionByName(_meet(holding, news, links).select(*keys, "ts", "lhs", "rhs"))
+    return shown(looked.where("_own"), "ts").unionByName(shown(met, "_since"))
 
 
 def temporal_join_theta(
@@ -137,19 +146,16 @@ def temporal_join_theta(
     """
     keys = [key] if isinstance(key, str) else list(key)
     _check(left, right, left_ts, right_ts, keys, on)
-    linked = all_of(F.col(a).isNotNull() for a, _ in on)
     own = [c for c in dict.fromkeys(uses) if c not in {a for a, _ in on}]
     # NULL can satisfy the condition, so it becomes a value to join on: text, or '' for NULL.
-    texts = {
-        f"_use_{c}": F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-        for c in own
-    }
+    texts = {f"_use_{c}": _text(c) for c in own}
     reachable = left.withColumns(texts) if texts else left
 
-    matched = _matched(reachable, right, left_ts, right_ts, keys, on, own, texts, condition, rows_per_task)
+    matched, path = _matched(left, right, left_ts, right_ts, keys, on, own, condition, rows_per_task)
     joined = temporal_join(
         reachable, matched, left_ts, right_ts, keys, [*on, *[(t, t) for t in texts]], rows_per_task
     )
+    discard(left.sparkSession, path)
     if not texts:
         return joined
     return joined.withColumns(
@@ -197,20 +203,43 @@ def periods(
     return following.withColumn("days", F.datediff(end, F.col(ts))).drop("_start")
 
 
-def _held(lefts: DataFrame, keys: list[str], cuts: Cuts | None) -> DataFrame:
-    """Adds `_was`, the item's row before, and `_end`, the time of its next row."""
-    s = sliced(lefts, keys, ["ts"], ["lhs"], cuts)
-    rows = s.rows.withColumn("_was", F.lag("lhs").over(s.window()))
+def _named(left: DataFrame, left_ts: str, on: Sequence[tuple[str, str]], links: list[str]) -> dict[str, str]:
+    """A name for each column of left: its time, its links and the others by their place."""
+    names = {left_ts: "ts"}
+    for (a, _), link in zip(on, links):
+        names.setdefault(a, link)
+    for i, c in enumerate(left.columns):
+        names.setdefault(c, f"_l{i}")
+    return names
+
+
+def _text(c: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+
+
+def _held(lefts: DataFrame, keys: list[str], compared: list[str], cuts: Cuts | None) -> DataFrame:
+    """Adds `_own`, whether the item's row before differs in `compared` or there is none, and `_end`, the time of its next row."""
+    # Only a carry row needs the row before as one value.
+    rows = lefts.withColumn("_row", F.struct("ts", *compared)) if cuts else lefts
+    s = sliced(rows, keys, ["ts"], ["_row"], cuts)
+    was = lambda c: F.lag("_row").over(s.window())[c] if s.split else F.lag(c).over(s.window())
+    own = was("ts").isNull() | any_of(distinct_from(c, was(c)) for c in compared)
+    rows = s.rows.withColumn("_own", own)
     if not s.split:
         return s.done(rows.withColumn("_end", F.lead("ts").over(s.window())))
-    s = sliced(s.done(rows).withColumn("_start", F.col("ts")), keys, ["ts"], ["_start"], cuts, reverse=True)
+    s = sliced(s.done(rows).drop("_row").withColumn("_start", F.col("ts")), keys, ["ts"], ["_start"], cuts, reverse=True)
     return s.done(s.rows.withColumn("_end", F.lag("_start").over(s.window()))).drop("_start")
 
 
+# Bits of a point's `_kind`: some row begins to hold there, some row ends.
+_BEGINS, _ENDS = "_kind & 1 > 0", "_kind & 2 > 0"
+
+
 def _points(held: DataFrame, links: list[str]) -> DataFrame:
     """The different (link, time) at which a row begins or ends to hold."""
-    both = held.select(*links, F.explode(F.array("ts", "_end")).alias("ts"))
-    return both.where(F.col("ts").isNotNull()).distinct()
+    kinds = F.array(*[F.struct(F.col(c).alias("ts"), F.lit(bit).alias("_kind")) for c, bit in (("ts", 1), ("_end", 2))])
+    both = held.select(*links, F.inline(kinds))
+    return both.where(F.col("ts").isNotNull()).groupBy(*links, "ts").agg(F.bit_or("_kind").alias("_kind"))
 
 
 def _numbered(
@@ -244,7 +273,7 @@ def _numbered(
 def _until_end(starting: DataFrame, at_points: DataFrame, news: DataFrame, links: list[str]) -> DataFrame:
     """Adds `_upto`, the number of news before `_end`; a row without an end holds to the link's last one."""
     at_end = F.col("_in")["new"] & (F.col("_in")["since"] == F.col("ts"))
-    ends = at_points.select(
+    ends = at_points.where(_ENDS).select(
         *links, "ts", (F.col("_n") - F.coalesce(at_end.cast("long"), F.lit(0))).alias("_upto")
     ).unionByName(
         news.groupBy(*links).agg(F.max("_n").alias("_upto")), allowMissingColumns=True
@@ -297,25 +326,26 @@ def _matched(
     keys: list[str],
     on: Sequence[tuple[str, str]],
     own: list[str],
-    texts: dict[str, Column],
     condition: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     rows_per_task: int | None,
-) -> DataFrame:
-    """Right rows with the values (`texts`) that they satisfy the condition for; all that an item can see.
+) -> tuple[DataFrame, str]:
+    """Right rows with the values (as `_use_` texts) that they satisfy the condition for; all that an item can see. And their path.
 
     Rows outside the time in which a value is held are left out, but for the last match before it.
     """
     limit = rows_per_task or slices.ROWS_PER_TASK
     links = [f"_link{i}" for i in range(len(on))]
-    names = {c: f"_left_{c}" for c in [*dict.fromkeys(a for a, _ in on), *own]}
-    value = [*links, *texts]
+    items = [f"_key{i}" for i in range(len(keys))]
+    # What the condition reads of a left row: links, and columns of its own.
+    names = {a: link for (a, _), link in reversed([*zip(on, links)])} | {c: f"_left_{c}" for c in own}
+    read = [names[c] for c in own]
+    value = [*links, *[f"_use_{c}" for c in own]]
     lefts = left.select(
-        *keys,
+        *[F.col(c).alias(n) for c, n in zip(keys, items)],
         F.col(left_ts).alias("ts"),
         *[F.col(a).alias(link) for (a, _), link in zip(on, links)],
-        *texts,
-        F.struct(*[F.col(c).alias(n) for c, n in names.items()]).alias("lhs"),
-    ).where(all_of(F.col(c).isNotNull() for c in [*keys, "ts"]))
+        *[F.col(c).alias(names[c]) for c in own],
+    ).where(all_of(F.col(c).isNotNull() for c in [*items, "ts"]))
     linked = all_of(F.col(c).isNotNull() for c in links)
     rights = right.select(
         *[F.col(b).alias(link) for (_, b), link in zip(on, links)],
@@ -326,27 +356,30 @@ def _matched(
     if lefts.select("ts").unionAll(rights.select("ts")).count() > limit:
         points = lefts.where(linked).select(*links, "ts").unionByName(rights.select(*links, "ts"))
         link_cuts = find_cuts(points, links, "ts", limit)
-        left_cuts = find_cuts(lefts, keys, "ts", limit)
+        left_cuts = find_cuts(lefts, items, "ts", limit)
 
     # Numbers of all right rows, and at the points where a value is taken up or given up.
-    held = _held(lefts, keys, left_cuts).where(linked)
-    numbered = _numbered(rights, _points(held, links), links, "rhs", lambda now, was: F.lit(True), link_cuts)
+    spark = left.sparkSession
+    held, held_path = stored(_held(lefts, items, [], left_cuts).where(linked).select(*links, *read, "ts", "_end"), "held")
+    points, points_path = stored(_points(held, links), "points")
     # Read several times from here on.
-    numbered = written(numbered, "numbered")
+    numbered, numbered_path = stored(_numbered(rights, points, links, "rhs", lambda now, was: F.lit(True), link_cuts), "numbered")
+    discard(spark, points_path)
     at_points, seen = numbered.where("_side = 1"), numbered.where("_side = 0")
     blocks = seen.select(*links, _block_of(F.col("_n")).alias("_block"), "_n", F.col("_in")["row"].alias("rhs"))
-    starting = held.select(*value, "lhs", "ts", "_end").join(
-        _large(at_points.select(*links, "ts", F.col("_n").alias("_after"))), [*links, "ts"]
-    ).drop("ts")
+    starts = at_points.where(_BEGINS).select(*links, "ts", F.col("_n").alias("_after"))
+    starting, starting_path = stored(held.join(_large(starts), [*links, "ts"]).drop("ts"), "starting")
+    discard(spark, held_path)
     rows = seen.select(*links, "ts", "_n")
-    holding = _until_end(starting, at_points, rows, links)
+    holding = _until_end(starting, at_points, rows, links).withColumns({f"_use_{c}": _text(names[c]) for c in own})
     # The blocks that a value is held in, whoever holds it: one more from where a hold begins, one less after it.
     first, last = _block_of(F.greatest(F.col("_after"), F.lit(1))), _block_of(F.greatest(F.col("_upto"), F.col("_after"), F.lit(1)))
     edges = F.array(F.struct(first.alias("_block"), F.lit(1).alias("_d")), F.struct((last + 1).alias("_block"), F.lit(-1).alias("_d")))
+    one_of = [F.any_value(c).alias(c) for c in read]
     steps = (
-        holding.select(*value, "lhs", F.explode(edges).alias("_edge"))
+        holding.select(*value, *read, F.explode(edges).alias("_edge"))
         .groupBy(*value, F.col("_edge")["_block"].alias("_block"))
-        .agg(F.sum(F.col("_edge")["_d"]).alias("_d"), F.any_value("lhs").alias("lhs"))
+        .agg(F.sum(F.col("_edge")["_d"]).alias("_d"), *one_of)
         .where("_d <> 0")
     )
     cuts = find_cuts(steps, value, "_block", limit) if link_cuts else None
@@ -357,21 +390,22 @@ def _matched(
     runs = s.done(s.rows.withColumn("_run", before)).where(F.col("_run").isNotNull())
     run_from, run_to = F.col("_run")["_block"], F.col("_block") - 1
     runs = written(
-        runs.select(*value, "lhs", run_from.alias("_from"), run_to.alias("_to"), (F.col("_run")["_open"] > 0).alias("_covered"))
+        runs.select(*value, *read, run_from.alias("_from"), run_to.alias("_to"), (F.col("_run")["_open"] > 0).alias("_covered"))
         .unionByName(
-            cover.groupBy(*value).agg(F.any_value("lhs").alias("lhs"), F.min("_block").alias("_to")).select(
-                *value, "lhs", F.lit(0).cast("long").alias("_from"), (F.col("_to") - 1).alias("_to"), F.lit(False).alias("_covered")
+            cover.groupBy(*value).agg(*one_of, F.min("_block").alias("_to")).select(
+                *value, *read, F.lit(0).cast("long").alias("_from"), (F.col("_to") - 1).alias("_to"), F.lit(False).alias("_covered")
             )
         )
         .where("_from <= _to"),
         "runs",
     )
-    holds = condition(lambda c: F.col("lhs")[names[c]], lambda c: F.col("rhs")[c])
+    discard(spark, starting_path)
+    holds = condition(lambda c: F.col(names[c]), lambda c: F.col("rhs")[c])
     meet = lambda some, low, high: _each_block(some, low, high).join(_large(blocks), [*links, "_block"]).where(holds)
-    shown = [*[F.col("rhs")[c].alias(c) for c in right.columns], *texts]
+    shown = [*[F.col("rhs")[c].alias(c) for c in right.columns], *value[len(links):]]
     matched = meet(runs.where("_covered"), F.col("_from"), F.col("_to")).select(*shown)
     # Before a run that is covered lies one that isn't, or another that is: its last match is what holds when the run begins.
-    gaps = runs.where("NOT _covered").select(*value, "lhs", "_from", "_to", F.col("_to").alias("_upto"))
+    gaps = runs.where("NOT _covered").select(*value, *read, "_from", "_to", F.col("_to").alias("_upto"))
     width = 1
     while not gaps.isEmpty():
         low = F.greatest(F.col("_from"), F.col("_upto") - (width - 1))
@@ -386,7 +420,9 @@ def _matched(
             gaps.where(low > F.col("_from")).withColumn("_upto", low - 1).join(_large(last_match), [*value, "_to"], "left_anti"), "gaps"
         )
         width *= 2
-    return written(matched, "matched")
+    matched = stored(matched, "matched")
+    discard(spark, numbered_path)
+    return matched
 
 
 def _check(left, right, left_ts, right_ts, keys, on) -> None:

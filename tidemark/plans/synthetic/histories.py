@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from tidemark.operators.temporal import (
 )
 from tidemark.plans.risk import PAYLOAD, project_a_risk_history, project_b_risk_history, risk_audits, silver_risk_history
 from tidemark.plans.synthetic.registry import query
-from tidemark.session import load, work_path, written
+from tidemark.session import discard, load, stored, work_path, written
 
 LHS_SQL = """
 SELECT l_partkey, l_shipdate AS shipped, CASE WHEN min(l_linenumber) <= 2 THEN 'A'
@@ -46,10 +48,10 @@ SELECT l_partkey, ts, flag, link, class FROM c WHERE changed"""
 # Histories are tables that several steps read, so they are written before they are joined.
 
 
-def part_history(spark: SparkSession, sf: str) -> DataFrame:
+def part_rows(spark: SparkSession, sf: str) -> DataFrame:
     """One row per part and ship date: a flag and the supplier linked to."""
     line = F.min("l_linenumber")
-    rows = (
+    return (
         load(spark, sf, "lineitem")
         .groupBy("l_partkey", F.col("l_shipdate").alias("shipped"))
         .agg(
@@ -57,26 +59,40 @@ def part_history(spark: SparkSession, sf: str) -> DataFrame:
             F.min("l_suppkey").alias("link"),
         )
     )
-    return written(rows, "part_history")
 
 
-def supplier_history(spark: SparkSession, sf: str) -> DataFrame:
+def supplier_rows(spark: SparkSession, sf: str) -> DataFrame:
     """One row per supplier and quarter: a class by the quantity shipped."""
     quantity = F.sum("l_quantity")
     band = F.when(quantity < 500, "A").when(quantity < 600, "B").otherwise("C")
-    rows = (
+    return (
         load(spark, sf, "lineitem")
         .groupBy("l_suppkey", F.date_trunc("quarter", "l_shipdate").alias("since"))
         .agg(band.alias("class"))
     )
-    return written(rows, "supplier_history")
+
+
+def part_history(spark: SparkSession, sf: str) -> DataFrame:
+    return written(part_rows(spark, sf), "part_history")
+
+
+def supplier_history(spark: SparkSession, sf: str) -> DataFrame:
+    return written(supplier_rows(spark, sf), "supplier_history")
+
+
+def from_histories(spark: SparkSession, sf: str, join: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """What `join` makes of the parts' and the suppliers' history, which go afterwards: a join reads what it has written itself."""
+    parts, parts_path = stored(part_rows(spark, sf), "part_history")
+    suppliers, suppliers_path = stored(supplier_rows(spark, sf), "supplier_history")
+    made = join(parts, suppliers)
+    discard(spark, parts_path, suppliers_path)
+    return made
 
 
 def joined(spark: SparkSession, sf: str) -> DataFrame:
-    return temporal_join(
-        part_history(spark, sf), supplier_history(spark, sf), "shipped", "since", "l_partkey",
-        [("link", "l_suppkey")],
-    ).select("l_partkey", "ts", "lhs.flag", "lhs.link", "rhs.class")
+    return from_histories(spark, sf, lambda parts, suppliers: temporal_join(
+        parts, suppliers, "shipped", "since", "l_partkey", [("link", "l_suppkey")],
+    )).select("l_partkey", "ts", "lhs.flag", "lhs.link", "rhs.class")
 
 
 query("j1_temporal_join", JOIN_SQL)(joined)
@@ -96,12 +112,12 @@ THETA_SQL = JOIN_SQL.replace(
 
 @query("j6_temporal_join_theta", THETA_SQL)
 def theta(spark, sf):
-    return temporal_join_theta(
-        part_history(spark, sf), supplier_history(spark, sf), "shipped", "since", "l_partkey",
+    return from_histories(spark, sf, lambda parts, suppliers: temporal_join_theta(
+        parts, suppliers, "shipped", "since", "l_partkey",
         [("link", "l_suppkey")],
         lambda l, r: (l("flag") != "N") | (r("class") == "C"),
         ["flag"],
-    ).select("l_partkey", "ts", "lhs.flag", "lhs.link", "rhs.class")
+    )).select("l_partkey", "ts", "lhs.flag", "lhs.link", "rhs.class")
 
 
 BY_TYPE_SQL = "SELECT user_id, ts, event_id FROM events WHERE event_type = '{}'"
@@ -183,7 +199,8 @@ def repeats(spark, sf):
 )
 def audited_join(spark, sf):
     history = written(joined(spark, sf), "joined")
-    twice = audit_unique(history, ["l_partkey", "ts"])
+    # One audit after the other, so that the disks hold the shuffle of one.
+    twice = written(audit_unique(history, ["l_partkey", "ts"]), "twice")
     still = audit_every_row_is_a_change(history, "l_partkey", "ts", ["flag", "link", "class"])
     return twice.unionByName(still.select("l_partkey", "ts", F.lit(0).cast("long").alias("rows")))
 
@@ -256,32 +273,35 @@ B_RISK_SQL = "SELECT 'project_b' AS tenant_id, " + RISK_COLUMNS.format(
 ) + f" FROM ({JOIN_SQL})"
 
 
-def components(spark: SparkSession, sf: str, key: str, ts: str, level: str, team: str) -> DataFrame:
-    rows = supplier_history(spark, sf)
+def components(suppliers: DataFrame, key: str, ts: str, level: str, team: str) -> DataFrame:
     owner = F.concat(F.lit("team "), (F.col("l_suppkey") % 3).cast("string"))
-    return rows.select(
+    return suppliers.select(
         F.col("l_suppkey").cast("string").alias(key), F.to_date("since").alias(ts), F.col("class").alias(level), owner.alias(team)
     )
 
 
 def project_a(spark: SparkSession, sf: str) -> DataFrame:
-    parts = part_history(spark, sf).select(
+    issues = lambda parts: parts.select(
         F.col("l_partkey").cast("string").alias("issue_key"), F.to_date("shipped").alias("changed_at"),
         value_map("flag", STATES).alias("status"), (F.col("l_partkey") % 9).cast("int").alias("story_points"),
         F.col("link").cast("string").alias("component_key"),
     )
-    return project_a_risk_history(parts, components(spark, sf, "component_key", "changed_at", "safety_class", "owner_team"))
+    return from_histories(spark, sf, lambda parts, suppliers: project_a_risk_history(
+        issues(parts), components(suppliers, "component_key", "changed_at", "safety_class", "owner_team")
+    ))
 
 
 def project_b(spark: SparkSession, sf: str) -> DataFrame:
     third = F.col("l_partkey") % 3
-    parts = part_history(spark, sf).select(
+    issues = lambda parts: parts.select(
         F.col("l_partkey").cast("int").alias("id"), F.to_date("shipped").alias("updated"),
         value_map("flag", {"A": "closed", "N": "open", "R": "merged"}).alias("state"),
         F.when(third == 0, "high").when(third == 1, "medium").otherwise("low").alias("priority"),
         F.col("link").cast("string").alias("area"),
     )
-    return project_b_risk_history(parts, components(spark, sf, "area", "updated", "classification", "team"))
+    return from_histories(spark, sf, lambda parts, suppliers: project_b_risk_history(
+        issues(parts), components(suppliers, "area", "updated", "classification", "team")
+    ))
 
 
 @query("q6_a5_risk_history_published", A_RISK_SQL)
